@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallyloom.llm.encode import encode_corpus
 from tallyloom.llm.formatting_copies import collapse_copies, find_copies
+from tallyloom.llm.pack import container_fill, pack_corpus
 
 Q: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -52,3 +54,24 @@ def p6_found(spark, d):
 def p6_records(spark, d):
     """The table with its copies collapsed, and how many each record had."""
     return collapse_copies(table(spark, d, "biblio"), "ord", ["title", "doi", "search_run"], ["title", "doi"]).select("ord", "title", "doi", "search_run", "n_copies")
+
+
+# --- problem 7: the corpus as token ids -----------------------------------------------------------
+
+
+@query("p7_ids")
+def p7_ids(spark, d):
+    return encode_corpus(table(spark, d, "documents"), "doc_id", "text")
+
+
+# --- problem 8: containers of fixed capacity ------------------------------------------------------
+
+
+@query("p8_containers")
+def p8_containers(spark, d):
+    return pack_corpus(table(spark, d, "documents"), "doc_id", "text", 2048)
+
+
+@query("p8_fill")
+def p8_fill(spark, d):
+    return container_fill(pack_corpus(table(spark, d, "documents"), "doc_id", "text", 2048), 2048)
