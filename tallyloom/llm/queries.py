@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallyloom.llm.consensus import collapse_ratings, fit_consensus, krippendorff
 from tallyloom.llm.encode import encode_corpus
 from tallyloom.llm.formatting_copies import collapse_copies, find_copies
 from tallyloom.llm.pack import container_fill, pack_corpus
@@ -75,3 +76,69 @@ def p8_containers(spark, d):
 @query("p8_fill")
 def p8_fill(spark, d):
     return container_fill(pack_corpus(table(spark, d, "documents"), "doc_id", "text", 2048), 2048)
+
+
+# --- problem 5: consensus of annotators -----------------------------------------------------------
+
+# fixed values: the ten fields of seeds.domain, and spellings of yes and no
+FIELDS = ["disability", "family/children", "housing", "labour market", "none", "retirement", "sickness/health/care", "survivors", "taxes", "unemployment"]
+YES = ["1", "1.0", "true", "yes", "y", "t", "ja", "wahr", "oui", "sí", "si", "sì", "sim", "vrai"]
+NO = ["0", "0.0", "false", "no", "n", "f", "nein", "falsch", "non", "nee", "não", "faux"]
+
+
+def spelled_label(variable, value):
+    """The class that a value names in any spelling, else null."""
+    tidy = F.regexp_replace(F.regexp_replace(F.lower(value), r"[\s\p{Z}\p{C}]+", " "), r"^[ \"'.]+|[ \"'.]+$", "")
+    field = F.regexp_replace(tidy, r" ?/ ?", "/")
+    flag = F.when(tidy.isin(YES), "1").when(tidy.isin(NO), "0")
+    return F.when(variable == "crisis_ref", flag).when(field.isin(FIELDS), field)
+
+
+def ratings(spark, d):
+    variables = ["social_policy_field_1", "crisis_ref"]
+    people = collapse_ratings(table(spark, d, "gold"), "id", "gold_row", "gs_labels", variables, True)
+    models = collapse_ratings(table(spark, d, "run_entries"), "id", "entry_id", "llm_labels", variables, False)
+    both = people.unionByName(models)
+    return both.select("variable", "item", "coder", spelled_label(F.col("variable"), F.col("value")).alias("label"))
+
+
+_CLASSES = {"social_policy_field_1": FIELDS, "crisis_ref": ["0", "1"]}
+
+
+@query("p5_found")
+def p5_found(spark, d):
+    items, _ = fit_consensus(ratings(spark, d), _CLASSES)
+    return items.where("n_coders >= 2").select(F.col("item").alias("id"), "variable", "label")
+
+
+@query("p5_reliability")
+def p5_reliability(spark, d):
+    return fit_consensus(ratings(spark, d), _CLASSES)[1]
+
+
+_YES_SQL = ", ".join(f"'{x}'" for x in YES)
+_NO_SQL = ", ".join(f"'{x}'" for x in NO)
+_FIELDS_SQL = ", ".join(f"'{x}'" for x in FIELDS)
+_RATINGS_SQL = f"""
+WITH people AS (SELECT DISTINCT id AS item, gs_labels AS m FROM gold WHERE gs_labels IS NOT NULL),
+maps AS (SELECT item, m FROM people UNION ALL SELECT id, llm_labels FROM run_entries WHERE llm_labels IS NOT NULL),
+long AS (SELECT 'social_policy_field_1' AS variable, item, m['social_policy_field_1'] AS x FROM maps
+  UNION ALL SELECT 'crisis_ref', item, m['crisis_ref'] FROM maps),
+tidy AS (SELECT variable, item, x.coder AS coder, regexp_replace(regexp_replace(lower(x.value), '[\\s\\p{{Z}}\\p{{C}}]+', ' ', 'g'), '^[ "''.]+|[ "''.]+$', '', 'g') AS v FROM long WHERE x.value IS NOT NULL),
+ratings AS (SELECT variable, item, coder, CASE WHEN variable = 'crisis_ref' THEN CASE WHEN v IN ({_YES_SQL}) THEN '1' WHEN v IN ({_NO_SQL}) THEN '0' END
+  WHEN regexp_replace(v, ' ?/ ?', '/', 'g') IN ({_FIELDS_SQL}) THEN regexp_replace(v, ' ?/ ?', '/', 'g') END AS label FROM tidy)
+"""
+
+
+@query(
+    "p5_agreement",
+    _RATINGS_SQL
+    + """, t AS (SELECT variable, item, label, count(*)::DOUBLE AS n FROM ratings WHERE label IS NOT NULL AND coder IS NOT NULL AND item IS NOT NULL GROUP BY ALL),
+i AS (SELECT variable, item, sum(n) AS m, sum(n * n) AS same FROM t GROUP BY ALL HAVING sum(n) > 1),
+seen AS (SELECT variable, count(*)::BIGINT AS n_items, sum(m) AS n, sum((m * m - same) / (m - 1)) AS d FROM i GROUP BY ALL),
+c AS (SELECT variable, label, sum(n) AS c FROM t SEMI JOIN i USING (variable, item) GROUP BY ALL),
+cc AS (SELECT variable, sum(c * c) AS cc FROM c GROUP BY ALL)
+SELECT variable, n_items, n::BIGINT AS n_labels, round(1 - d / ((n * n - cc) / (n - 1)), 6) AS alpha FROM seen JOIN cc USING (variable)""",
+)
+def p5_agreement(spark, d):
+    return krippendorff(ratings(spark, d)).withColumn("alpha", F.round("alpha", 6))
