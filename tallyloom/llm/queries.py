@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tallyloom.llm.consensus import collapse_ratings, fit_consensus, krippendorff
 from tallyloom.llm.encode import encode_corpus
 from tallyloom.llm.formatting_copies import collapse_copies, find_copies
+from tallyloom.llm.language import detect, train, wrong_or_mixed
 from tallyloom.llm.pack import container_fill, pack_corpus
 
 Q: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -142,3 +143,23 @@ SELECT variable, n_items, n::BIGINT AS n_labels, round(1 - d / ((n * n - cc) / (
 )
 def p5_agreement(spark, d):
     return krippendorff(ratings(spark, d)).withColumn("alpha", F.round("alpha", 6))
+
+
+# --- problem 9: document languages ----------------------------------------------------------------
+
+
+def _machines(docs):
+    return train(docs, "doc_id", "text", "lang")
+
+
+@query("p9_found")
+def p9_found(spark, d):
+    docs = table(spark, d, "documents")
+    return wrong_or_mixed(docs, "doc_id", "text", "lang", _machines(docs))
+
+
+@query("p9_segments")
+def p9_segments(spark, d):
+    """Language and confidence of every segment of every document, and of the document."""
+    docs = table(spark, d, "documents")
+    return detect(docs, "doc_id", "text", _machines(docs))
