@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallyloom.llm import subjects
 from tallyloom.llm.consensus import collapse_ratings, fit_consensus, krippendorff
 from tallyloom.llm.encode import encode_corpus
 from tallyloom.llm.formatting_copies import collapse_copies, find_copies
@@ -163,3 +164,35 @@ def p9_segments(spark, d):
     """Language and confidence of every segment of every document, and of the document."""
     docs = table(spark, d, "documents")
     return detect(docs, "doc_id", "text", _machines(docs))
+
+
+# --- problem 3: subject areas ---------------------------------------------------------------------
+
+
+def _subjects(spark, d):
+    policies = table(spark, d, "final_policy_set")
+    factors, sent = subjects.fit(policies, table(spark, d, "seeds"), table(spark, d, "policy_fields"), "id", "title", "full_text")
+    return policies, factors, sent
+
+
+@query("p3_found")
+def p3_found(spark, d):
+    policies, factors, sent = _subjects(spark, d)
+    return subjects.assign(factors, sent, policies, "none", "id", "full_text")
+
+
+@query("p3_mixture")
+def p3_mixture(spark, d):
+    """The subject mixture of every policy: rows of W."""
+    _, factors, sent = _subjects(spark, d)
+    return subjects.mixtures(factors, sent).select(F.col("k").alias("id"), "subject", F.round("weight", 4).alias("weight"))
+
+
+@query("p3_composition")
+def p3_composition(spark, d):
+    """How much of the corpus each subject has: policies and their share."""
+    policies, factors, sent = _subjects(spark, d)
+    found = subjects.assign(factors, sent, policies, "none", "id", "full_text")
+    per = found.groupBy("subject").agg(F.count("*").alias("n_policies"))
+    total = found.agg(F.count_distinct("id").alias("n"))
+    return per.join(F.broadcast(total)).select("subject", "n_policies", F.round(F.col("n_policies") / F.col("n"), 6).alias("share"))
