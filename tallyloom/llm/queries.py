@@ -12,6 +12,7 @@ from tallyloom.llm.consensus import collapse_ratings, fit_consensus, krippendorf
 from tallyloom.llm.encode import encode_corpus
 from tallyloom.llm.formatting_copies import collapse_copies, find_copies
 from tallyloom.llm.language import detect, train, wrong_or_mixed
+from tallyloom.llm.pair_defects import pair_defects, pair_rows
 from tallyloom.llm.pack import container_fill, pack_corpus
 
 Q: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -196,3 +197,31 @@ def p3_composition(spark, d):
     per = found.groupBy("subject").agg(F.count("*").alias("n_policies"))
     total = found.agg(F.count_distinct("id").alias("n"))
     return per.join(F.broadcast(total)).select("subject", "n_policies", F.round(F.col("n_policies") / F.col("n"), 6).alias("share"))
+
+
+# --- problem 1: broken prompt and response pairs --------------------------------------------------
+
+_ASKED = {
+    "batch": ["summary", "legally_effective", "crisis_ref"],
+    "single_summary": ["summary"],
+    "single_effective": ["legally_effective"],
+    "single_crisis": ["crisis_ref"],
+}
+
+
+def _pairs(spark, d):
+    return pair_rows(table(spark, d, "run_entries"), "entry_id", "prompt", "prompt_key", "llm_labels", "llm_error", _ASKED, "TITLE:")
+
+
+@query("p1_found")
+def p1_found(spark, d):
+    return pair_defects(_pairs(spark, d), "entry_id")
+
+
+@query("p1_by_model")
+def p1_by_model(spark, d):
+    """Defects by model: how many of each type, and their share of the asked answers."""
+    runs = table(spark, d, "run_entries").select("entry_id", "model")
+    asked = _pairs(spark, d).join(runs, F.col("k") == F.col("entry_id")).groupBy("model").agg(F.count("*").alias("n_asked"))
+    found = pair_defects(_pairs(spark, d), "entry_id").join(runs, "entry_id").groupBy("model", "defect").agg(F.count("*").alias("n_defects"))
+    return found.join(asked, "model").select("model", "defect", "n_defects", "n_asked", F.round(F.col("n_defects") / F.col("n_asked"), 6).alias("share"))
