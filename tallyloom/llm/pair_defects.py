@@ -56,6 +56,7 @@ _CLAUSE = regex.compile(r"(?<=[.!?;:…])\s+|\s*\n\s*")
 _VISIBLE = regex.compile(r"[\p{L}\p{N}]")
 _WRAP = regex.compile(r"^[\s\p{Z}\p{C}\"'„“”«»*`_#>\-•]+|[\s\p{Z}\p{C}\"'„“”«»*`_]+$")
 _DONE = regex.compile(r"(?<!\.\.)(?<!…)[.!?]$")
+_BROKEN_OFF = regex.compile(r"(?:…|\.\.)\W*$")
 _REFUSAL = regex.compile(
     r"(?i)\b(?:i|we)(?:'m| am| are)? (?:\w+ )?(?:cannot|can't|can not|must decline|have to decline|decline|won't|will not|am unable|are unable|unable|not able|am not able|not in a position|refuse|do not feel)\b"
     r"|\bi'?m (?:sorry|afraid|unable|not able)\b|\bas an? (?:ai|artificial|language|large)\b|\bmy (?:guidelines|policies|programming|instructions)\b"
@@ -115,6 +116,7 @@ def featurise(parts: list[str], variable: str, question: set, given: set, frame_
         n = max(1, len(w))
         last, first = i == len(parts) - 1, i == 0
         done = bool(_DONE.search(c)) or not last
+        frame_known = frame_known and not _BROKEN_OFF.search(c)
         value = bool(_DATE.match(c)) or bool(_FLAG.match(c))
         english = sum(t in ENGLISH for t in w) / n
         foreign = sum(t in FOREIGN_WORDS for t in w) / n

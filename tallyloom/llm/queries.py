@@ -13,8 +13,10 @@ from tallyloom.llm.encode import encode_corpus
 from tallyloom.llm.formatting_copies import collapse_copies, find_copies
 from tallyloom.llm.language import detect, train, wrong_or_mixed
 from tallyloom.llm.pair_defects import pair_defects, pair_rows
+from tallyloom.llm.scan_repair import damaged_lines, repair
 from tallyloom.llm.pack import container_fill, pack_corpus
 
+
 Q: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
@@ -225,3 +227,17 @@ def p1_by_model(spark, d):
     asked = _pairs(spark, d).join(runs, F.col("k") == F.col("entry_id")).groupBy("model").agg(F.count("*").alias("n_asked"))
     found = pair_defects(_pairs(spark, d), "entry_id").join(runs, "entry_id").groupBy("model", "defect").agg(F.count("*").alias("n_defects"))
     return found.join(asked, "model").select("model", "defect", "n_defects", "n_asked", F.round(F.col("n_defects") / F.col("n_asked"), 6).alias("share"))
+
+
+# --- problem 2: text from scanned pages -----------------------------------------------------------
+
+
+@query("p2_found")
+def p2_found(spark, d):
+    return damaged_lines(table(spark, d, "final_policy_set"), "id", "full_text")
+
+
+@query("p2_text")
+def p2_text(spark, d):
+    """The texts as continuous paragraphs."""
+    return repair(table(spark, d, "final_policy_set"), "id", "full_text")
