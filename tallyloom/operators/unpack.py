@@ -115,13 +115,6 @@ def split_strings(strings: pa.Array, quotes: list[str] = QUOTES, delimiters: lis
     return owner, pieces, quoted
 
 
-def _strip_marks(pieces: pa.Array) -> pa.Array:
-    marks = "".join(QUOTES)
-    blank = r"[\s\p{Z}]"
-    out = pc.replace_substring_regex(pieces, pattern=rf"^({blank}|[{marks}])+", replacement="")
-    return pc.replace_substring_regex(out, pattern=rf"({blank}|,|;|\|)+$", replacement="")
-
-
 def _unquote(pieces: pa.Array) -> pa.Array:
     """Enclosing marks and blanks off, doubled inner marks single."""
     marks = "".join(QUOTES)
@@ -140,7 +133,9 @@ def unpack_batch(strings: pa.Array) -> tuple[np.ndarray, pa.Array]:
     owner, pieces, quoted = split_strings(strings)
     if not len(pieces):
         return owner, pieces
-    value = pc.if_else(pa.array(quoted), _unquote(pieces), pieces)
+    # a mark that stands alone is no part of a value
+    stray = pc.replace_substring_regex(pieces, pattern=rf"^[{''.join(QUOTES)}]+|[{''.join(QUOTES)}]+$", replacement="")
+    value = pc.if_else(pa.array(quoted), _unquote(pieces), stray)
     is_code = pc.match_substring_regex(value, LABELLED).to_numpy(zero_copy_only=False)
     captioned = quoted & ~is_code & pc.match_substring_regex(value, CAPTIONED).to_numpy(zero_copy_only=False)
     again = np.flatnonzero(quoted & ~is_code)

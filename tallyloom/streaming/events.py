@@ -56,9 +56,10 @@ def read_latest(spark: SparkSession, path: str) -> DataFrame:
 
 
 def rate_limited(events: DataFrame, key: str, ts: str, per_minute: int, per_hour: int) -> DataFrame:
-    """``(key, ts, allowed)``: requests that stay within both sliding windows of their key, by custom state with a time-out of an hour.
+    """``(key, ts, allowed)``: requests that stay within both sliding windows of their key, by custom state.
 
-    Only allowed requests count. Rows of a batch are taken in time order.
+    Only allowed requests count. Rows of a batch are taken in time order. The state of a key goes when the watermark is an
+    hour past its last request.
     """
     kind = events.schema[key].dataType.simpleString()
 
@@ -75,9 +76,10 @@ def rate_limited(events: DataFrame, key: str, ts: str, per_minute: int, per_hour
                 past.append(t)
             out.append((k[0], t, ok))
         state.update((past,))
-        state.setTimeoutDuration(3_600_000)
+        state.setTimeoutTimestamp(max(out[-1][1] // 1000, state.getCurrentWatermarkMs()) + 3_600_000)
         yield pd.DataFrame(out, columns=["k", "us", "allowed"])
 
-    slim = events.select(F.col(key).alias("k"), F.unix_micros(F.col(ts).cast("timestamp")).alias("us"))
-    limited = slim.groupBy("k").applyInPandasWithState(step, f"k {kind}, us bigint, allowed boolean", "past array<bigint>", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    timed = events.select(F.col(key).alias("k"), F.col(ts).cast("timestamp").alias("ts")).withWatermark("ts", "1 hour")
+    slim = timed.withColumn("us", F.unix_micros("ts"))
+    limited = slim.groupBy("k").applyInPandasWithState(step, f"k {kind}, us bigint, allowed boolean", "past array<bigint>", "append", GroupStateTimeout.EventTimeTimeout)
     return limited.select(F.col("k").alias(key), F.timestamp_micros("us").alias(ts), "allowed")
