@@ -67,8 +67,12 @@ def find_copies(df: DataFrame, ord_col: str, columns: list[str], identifying: li
 
 
 def collapse_copies(df: DataFrame, ord_col: str, columns: list[str], identifying: list[str]) -> DataFrame:
-    """One record per group (the one with the smallest key, as it stands) with ``n_copies``, the number of its copies."""
-    members = copy_groups(df, ord_col, columns, identifying).select("first_ord", F.col("ord").alias("__ord"), "n_records")
+    """One record per group (the one with the smallest key, as it stands) with ``n_copies``, the number of its copies.
+
+    Records without copies, and rows with a null key, stay with 0 copies. A column ``n_copies`` of ``df`` is replaced.
+    """
+    found = copy_groups(df, ord_col, columns, identifying)
+    members = found.select(F.col("first_ord").alias("__first"), F.col("ord").alias("__ord"), F.col("n_records").alias("__n"))
     joined = df.join(members, df[ord_col] == members["__ord"], "left")
-    kept = joined.where(F.col("first_ord").isNull() | (F.col("first_ord") == F.col("__ord")))
-    return kept.withColumn("n_copies", F.coalesce(F.col("n_records") - 1, F.lit(0))).drop("first_ord", "__ord", "n_records")
+    kept = joined.where(F.col("__first").isNull() | (F.col("__first") == F.col("__ord")))
+    return kept.withColumn("n_copies", F.coalesce(F.col("__n") - 1, F.lit(0))).drop("__first", "__ord", "__n")

@@ -25,6 +25,8 @@ from tallyloom.runtime import cut_lineage, spread
 TAGS = ["answer", "refusal", "echo", "foreign", "unfinished"]
 #: Bound of the training sample, in pairs.
 TRAIN_PAIRS = 3000
+#: Clauses of a training response at most; responses to be judged may have any number.
+LONGEST = 12
 #: Clause frames up to which their table is broadcast (a frame is under 100 bytes).
 BROADCAST_FRAMES = 300_000
 
@@ -247,7 +249,7 @@ def training_set(rows: list[tuple[str, str, str, str]], frames: set[str], seed:
     xs, ys = [], []
 
     def add(parts, variable, question, given, tags):
-        if not parts:
+        if not parts or len(parts) > LONGEST:
             return
         known = frame(parts[-1]) in frames
         xs.append(featurise(parts, variable, _grams(words(question)), _grams(words(given)), known))
@@ -311,7 +313,8 @@ def training_set(rows: list[tuple[str, str, str, str]], frames: set[str], seed:
                     if frame(bare) in frames:
                         add([*parts[:-1], bare], variable, question, given, ["answer"] * len(parts))
                 else:
-                    add(parts, variable, question, given, ["answer"] * len(parts))
+                    more = [rng.choice(prose) for _ in range(rng.randint(2, 8))] if prose and rng.random() < 0.25 else []
+                    add([*more, *parts], variable, question, given, ["answer"] * (len(more) + len(parts)))
     return xs, ys
 
 

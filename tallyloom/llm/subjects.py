@@ -91,8 +91,8 @@ def fit(docs: DataFrame, seeds: DataFrame, assigned: DataFrame, key: str, title:
     k = len(subjects) + free
     if len(vocab) * k * 8 > MAX_BROADCAST:
         raise ValueError("the vocabulary is too large to broadcast; raise MIN_SHARE")
-    if not vocab:
-        return Factors(subjects, [], np.zeros(0), np.zeros((k, 0))), sent
+    if not vocab or not subjects:
+        return Factors(subjects, [], np.zeros(0), np.zeros((k, 0))), sent  # nothing to tell apart
     freq = np.array([r["df"] for r in rows], float)
     idf = np.log1p(n_docs / freq)
 
