@@ -38,7 +38,7 @@ FOREIGN = {
     "de": "der die das den dem des ein eine einer eines einem einen und oder nicht ist sind wird werden für von mit auf im zum zur durch bis kein keine ab nach über sich bei ja nein wahr falsch als wie dass",
     "fr": "le la les des du un une et est dans pour par que qui ce cette au aux en dès jusqu jusqu'en je ne pas sur avec aucune aucun oui non vrai faux il elle sont",
     "es": "el la los las del un una y es en para por que hasta de se con al sí si verdadero falso ninguna ninguno",
-    "it": "il lo la gli le dei della delle del un una e è per che di al dal fino con si sì vero falso nessuna nessun",
+    "it": "il lo la gli le dei degli della delle del nel nella sul sui sugli alla alle un una e è per che di al dal fino con si sì vero falso nessuna nessun",
     "nl": "de het een van en op voor met tot te dat zijn worden wordt niet geen ja nee waar onwaar",
     "pt": "o os as do da dos das um uma e é para por que até com não sim se ao verdadeiro falso nenhuma",
 }
@@ -51,6 +51,7 @@ MONTHS_FOREIGN = set(
 FOREIGN_WORDS = set(w for v in FOREIGN.values() for w in v.split()) - ENGLISH
 # "per" and the like are English as well
 FOREIGN_WORDS -= {"per", "non", "no"}
+ELISIONS = ("l'", "d'", "dell'", "all'", "nell'", "sull'", "qu'", "jusqu'")
 ALONE_FOREIGN = {"non", "nein", "ja", "nee", "oui", "sí", "sì", "si", "não", "sim", "wahr", "falsch", "vrai", "faux", "vero", "falso", "verdadero", "verdadeiro", "waar", "onwaar"}
 
 _TOKEN = regex.compile(r"[\p{L}\p{M}']+|\p{N}+")
@@ -58,7 +59,7 @@ _CLAUSE = regex.compile(r"(?<=[.!?;:…])\s+|\s*\n\s*")
 _VISIBLE = regex.compile(r"[\p{L}\p{N}]")
 _WRAP = regex.compile(r"^[\s\p{Z}\p{C}\"'„“”«»*`_#>\-•]+|[\s\p{Z}\p{C}\"'„“”«»*`_]+$")
 _DONE = regex.compile(r"(?<!\.\.)(?<!…)[.!?]$")
-_BROKEN_OFF = regex.compile(r"(?:…|\.\.)\W*$")
+_BROKEN_OFF = regex.compile(r"(?:…|\.\.|[,;:(–-])[\s\"'”“]*$")
 _REFUSAL = regex.compile(
     r"(?i)\b(?:i|we)(?:'m| am| are)? (?:\w+ )?(?:cannot|can't|can not|must decline|have to decline|decline|won't|will not|am unable|are unable|unable|not able|am not able|not in a position|refuse|do not feel)\b"
     r"|\bi'?m (?:sorry|afraid|unable|not able)\b|\bas an? (?:ai|artificial|language|large)\b|\bmy (?:guidelines|policies|programming|instructions)\b"
@@ -121,7 +122,7 @@ def featurise(parts: list[str], variable: str, question: set, given: set, frame_
         frame_known = frame_known and not _BROKEN_OFF.search(c)
         value = bool(_DATE.match(c)) or bool(_FLAG.match(c))
         english = sum(t in ENGLISH for t in w) / n
-        foreign = sum(t in FOREIGN_WORDS for t in w) / n
+        foreign = sum(t in FOREIGN_WORDS or t.startswith(ELISIONS) for t in w) / n
         month = any(t in MONTHS_FOREIGN for t in w)
         copied_q, copied_g = _copied(w, question), _copied(w, given)
         if len(w) <= 3 and w and w[0] in ALONE_FOREIGN:
