@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tallyloom.functions import dates, vectors
 from tallyloom.functions import labels as L
 from tallyloom.functions import text as T
-from tallyloom.operators import aggregate, dedup, evaluate, joins, reliability, sample, topics, windows
+from tallyloom.operators import aggregate, dedup, evaluate, joins, reliability, sample, sets, topics, windows
 from tallyloom.operators.aggregate import value_counts
 from tallyloom.operators.joins import pooled_union
 from tallyloom.operators.unpack import unpack_fields
@@ -875,3 +875,58 @@ def events_replayed(spark, d):
     stream = S.replay(spark, path if not os.path.isfile(path) else d, src.schema) if not os.path.isfile(path) else spark.readStream.schema(src.schema).option("pathGlobFilter", "events.parquet").parquet(d)
     S.upsert_latest(stream, ["event_id"], ["ts", "event_id"], f"{base}/state", f"{base}/checkpoint").awaitTermination()
     return value_counts(S.read_latest(spark, f"{base}/state"), "event_type")
+
+
+# --- sets, caches, further reports --------------------------------------------------------------------------
+
+
+@query("common_ids", "SELECT DISTINCT id FROM gold WHERE id IN (SELECT id FROM policy_fields)")
+def common_ids(spark, d):
+    return sets.common_keys(table(spark, d, "gold"), table(spark, d, "policy_fields"), "id")
+
+
+@query("ids_of_all_tables", "SELECT id FROM gold UNION SELECT id FROM policy_fields UNION SELECT id FROM run_entries")
+def ids_of_all_tables(spark, d):
+    return sets.union_keys([table(spark, d, n) for n in ("gold", "policy_fields", "run_entries")], "id")
+
+
+@query("unassigned_ids", "SELECT DISTINCT id FROM final_policy_set WHERE id NOT IN (SELECT id FROM policy_fields WHERE id IS NOT NULL)")
+def unassigned_ids(spark, d):
+    return sets.missing_keys(table(spark, d, "final_policy_set"), table(spark, d, "policy_fields"), "id")
+
+
+@query("repeated_log_rows", "SELECT year, number, attempt, status FROM fetch_log EXCEPT ALL SELECT DISTINCT year, number, attempt, status FROM fetch_log")
+def repeated_log_rows(spark, d):
+    f = table(spark, d, "fetch_log").select("year", "number", "attempt", "status")
+    return sets.multiset_difference(f, f.distinct())
+
+
+@query("score_parts", "SELECT id, CASE WHEN similarity_score > 0.73 THEN 'above' WHEN similarity_score > 0.5 AND similarity_score < 0.73 THEN 'probe' ELSE 'rest' END AS part FROM final_policy_set")
+def score_parts(spark, d):
+    s = F.col("similarity_score")
+    return sets.split(table(spark, d, "final_policy_set").select("id", "similarity_score"), {"above": s > 0.73, "probe": (s > 0.5) & (s < 0.73)}).select("id", "part")
+
+
+@query("cached_texts", "WITH c AS (SELECT DISTINCT coalesce(text, '') AS t FROM documents WHERE doc_id % 3 = 0) SELECT doc_id, coalesce(text, '') IN (SELECT t FROM c) AS is_cached FROM documents")
+def cached_texts(spark, d):
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    key = sets.content_key("m", 512, F.col("text"))
+    cache = docs.where("doc_id % 3 = 0").select(key.alias("cache_key"), F.length("text").alias("value"))
+    return sets.cache_lookup(docs, cache, key, "value").select("doc_id", "is_cached")
+
+
+@query("prompt_length_vs_f1", _ML_SQL + ", w AS (SELECT prompt_key, avg(len(list_filter(regexp_split_to_array(prompt, '[\\s\\p{Z}]+'), lambda w: w <> ''))) AS words FROM run_entries GROUP BY 1) SELECT model, prompt_key, round(words, 6) AS mean_words, round(mf, 6) AS macro_f1 FROM mf JOIN w USING (prompt_key)")
+def prompt_length_vs_f1(spark, d):
+    w = table(spark, d, "run_entries").groupBy("prompt_key").agg(F.avg(T.word_count(F.col("prompt"))).alias("words"))
+    return joins.lookup(_macro(spark, d), w, ["prompt_key"]).select(*_RUN, F.round("words", 6).alias("mean_words"), F.round("macro_f1", 6).alias("macro_f1"))
+
+
+@query("f1_with_alpha", _ML_SQL + """, n AS (SELECT model, prompt_key, id, unnest([gf1, f1]) AS v FROM al WHERE gf1 IN (""" + _CLS + """) AND f1 IN (""" + _CLS + """)), k AS (SELECT model, prompt_key, id, v, count(*)::DOUBLE AS n FROM n GROUP BY ALL),
+u AS (SELECT model, prompt_key, id, sum(n * n) AS sq FROM k GROUP BY ALL), sx AS (SELECT model, prompt_key, 2.0 * count(*) AS t, sum(4 - sq) AS d FROM u GROUP BY ALL), c AS (SELECT model, prompt_key, v, sum(n) AS c FROM k GROUP BY ALL), cc AS (SELECT model, prompt_key, sum(c * c) AS cc FROM c GROUP BY ALL)
+SELECT model, prompt_key, round(mf, 6) AS macro_f1, round(1 - d / ((t * t - cc) / (t - 1)), 6) AS alpha FROM sx JOIN cc USING (model, prompt_key) JOIN mf USING (model, prompt_key)""")
+def f1_with_alpha(spark, d):
+    rows = _aligned(spark, d).where(F.col("gf1").isin(L.FIELDS) & F.col("f1").isin(L.FIELDS))
+    long = rows.select(F.concat_ws("|", *_RUN).alias("variable"), F.col("id").alias("unit"), F.explode(F.array(F.struct(F.lit("gold").alias("coder"), F.col("gf1").alias("value")), F.struct(F.lit("model").alias("coder"), F.col("f1").alias("value")))).alias("r"))
+    a = reliability.alpha(long.select("variable", "unit", "r.coder", "r.value"))
+    m = _macro(spark, d).withColumn("variable", F.concat_ws("|", *_RUN))
+    return m.join(a, "variable").select(*_RUN, F.round("macro_f1", 6).alias("macro_f1"), F.round("alpha", 6).alias("alpha"))

@@ -216,3 +216,21 @@ def test_streaming(spark, tmp_path):
     q.awaitTermination()
     assert spark.table("lim").where("allowed").count() == 6 and spark.table("lim").count() == 10
     assert os.path.isdir(tmp_path / "k")
+
+
+def test_sets_and_registry(spark, tmp_path):
+    from tallyloom.operators import sets
+    from tallyloom.sources import registry
+
+    a = spark.createDataFrame([("x",), ("x",), (None,), ("y",)], "k string")
+    b = spark.createDataFrame([("y",), ("z",)], "k string")
+    assert rows(sets.union_keys([a, b], "k")) == [("x",), ("y",), ("z",), (None,)] or len(rows(sets.union_keys([a, b], "k"))) == 4
+    assert rows(sets.common_keys(a, b, "k")) == [("y",)]
+    assert sorted(map(str, rows(sets.missing_keys(a, b, "k")))) == ["('x',)", "(None,)"]
+    assert sets.multiset_difference(a, a.distinct()).count() == 1
+    assert {r["part"] for r in sets.split(a, {"is_x": F.col("k") == "x"}).collect()} == {"is_x", "rest"}
+    (tmp_path / "g.json").write_text('[{"id": "1", "gs_labels": {"a": {"value": "x"}}}, {"id": "2"}]')
+    have, open_ = registry.load(spark, "gold_json", str(tmp_path / "g.json"))
+    assert have.count() == 1 and rows(open_) == [("2",)]
+    with pytest.raises(ValueError, match="no loader"):
+        registry.load(spark, "xml", "x")
