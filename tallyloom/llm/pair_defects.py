@@ -391,10 +391,15 @@ def pair_defects(pairs: DataFrame, key: str) -> DataFrame:
     def tag(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         m = shared.value
         grams: dict[str, set] = {}
+        short: dict[tuple, str | None] = {}
         for b in batches:
             keys, variables, defects = [], [], []
             for k, var, q, g, v, kn in zip(b["k"], b["variable"], b["question"], b["given"], b["value"], b["known"]):
-                if is_empty(v):
+                # up to three words the given text has no say (see featurise), so such values are judged once
+                same = (var, q, v) if v is not None and len(v) < 40 and v.count(" ") < 3 else None
+                if same in short:
+                    d = short[same]
+                elif is_empty(v):
                     d = "empty"
                 else:
                     parts = clauses(v)
@@ -404,6 +409,10 @@ def pair_defects(pairs: DataFrame, key: str) -> DataFrame:
                         grams[q] = _grams(words(q))
                     x = featurise(parts, var, grams[q], _grams(words(g)), kn is True or kn == True)  # noqa: E712
                     d = judge(parts, m.tag(x))
+                    if same is not None and len(words(v)) <= 3 and kn is None:
+                        if len(short) > 100_000:
+                            short.clear()
+                        short[same] = d
                 if d:
                     keys.append(k)
                     variables.append(var)
