@@ -10,6 +10,7 @@ assigns to another language than their label (mixed documents, wrong labels) are
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -23,8 +24,8 @@ from tallyloom.runtime import spread
 
 # fixed values: the languages by family
 FAMILIES = {"germanic": ["de", "en", "nl"], "romance": ["es", "fr", "it", "pt"]}
-#: Bound of the training sample, in documents per language.
-TRAIN_DOCS = 120
+#: Bounds of the training sample: documents per language, and distinct sentences per language.
+TRAIN_DOCS, TRAIN_SENTENCES = 400, 800
 BITS = 15
 NGRAMS = (1, 2, 3, 4, 5)
 
@@ -51,9 +52,17 @@ def sentences(text: str | None) -> list[str]:
     return [s for s in out if _WORD.search(s)]
 
 
+def tidied(text: str) -> str:
+    """Lower-case letters with single spaces around the words: all that the features see of a sentence."""
+    return f" {_NOISE.sub(' ', text.lower()).strip()} "
+
+
 def features(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, hashed feature, weight) of all n-grams; every row has length 1."""
-    tidy = [f" {_NOISE.sub(' ', t.lower()).strip()} " for t in texts]
+    """(row, hashed feature, weight) of all n-grams of tidied texts; every row has length 1."""
+    if len(texts) > 2000:  # the n-grams of a part are in memory at a time
+        parts = [features(texts[i : i + 2000]) for i in range(0, len(texts), 2000)]
+        return np.concatenate([r + 2000 * i for i, (r, _, _) in enumerate(parts)]), *(np.concatenate([p[j] for p in parts]) for j in (1, 2))
+    tidy = [tidied(t) for t in texts]
     cps = np.frombuffer("".join(tidy).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
     owner = np.repeat(np.arange(len(tidy)), [len(t) for t in tidy])
     rows, cols = [], []
@@ -91,11 +100,14 @@ class Machines:
         self.w = np.zeros((1 << BITS, len(self.duels)), np.float32)
         self.b = np.zeros(len(self.duels))
 
-    def fit(self, texts: list[str], labels: list[str], steps: int = 60, reg: float = 1e-4) -> None:
-        """Squared-hinge machines, each by accelerated gradient steps over the sentences of its languages, balanced by language."""
+    def fit(self, texts: list[str], labels: list[str], weights: list[float], steps: int = 60, reg: float = 1e-5) -> None:
+        """Squared-hinge machines, each by accelerated gradient steps over the sentences of its languages, balanced by language.
+
+        The step is halved, and the momentum dropped, whenever the loss has risen.
+        """
         row, col, val = features(texts)
         val = val.astype(np.float32)
-        lab = np.array(labels)
+        lab, wt = np.array(labels), np.array(weights, float)
         dim = 1 << BITS
         for j, (a, b) in enumerate(self.duels):
             own = np.isin(lab, a + b)
@@ -103,19 +115,24 @@ class Machines:
             share = np.zeros(len(lab))
             for side in (a, b):
                 for x in side:
-                    n = (lab == x).sum()
-                    share[lab == x] = 1.0 / (n * len(side)) if n else 0.0
+                    n = wt[lab == x].sum()
+                    share[lab == x] = wt[lab == x] / (n * len(side)) if n else 0.0
             if not own.any():
                 continue
             pick = own[row]
             r, c, v = row[pick], col[pick], val[pick]
-            w, vw, b0, vb = np.zeros(dim, np.float32), np.zeros(dim, np.float32), 0.0, 0.0
+            w, vw, b0, vb, rate, best = np.zeros(dim, np.float32), np.zeros(dim, np.float32), 0.0, 0.0, 4.0, np.inf
             for _ in range(steps):
                 lw, lb = w + np.float32(0.9) * vw, b0 + 0.9 * vb
-                s = np.bincount(r, lw[c] * v, len(lab))
-                slack = np.maximum(0, 1 - y * (s + lb)) * share * -y
+                gap = np.maximum(0, 1 - y * (np.bincount(r, lw[c] * v, len(lab)) + lb))
+                loss = float((gap * gap * share).sum())
+                if loss > 1.5 * best:
+                    rate, vw, vb, best = rate / 2, vw * 0, 0.0, np.inf
+                    continue
+                best = min(best, loss)
+                slack = gap * share * -y
                 gw = np.bincount(c, slack[r] * v, dim) + reg * lw
-                vw, vb = (0.9 * vw - 0.45 * gw).astype(np.float32), 0.9 * vb - 0.45 * slack.sum()
+                vw, vb = (0.9 * vw - rate * gw).astype(np.float32), 0.9 * vb - 0.2 * rate * slack.sum()
                 w, b0 = w + vw, b0 + vb
             self.w[:, j], self.b[j] = w, b0
 
@@ -145,25 +162,37 @@ def train(docs: DataFrame, key: str, text: str, lang: str, families: dict[str, l
     share = top.select("l", F.least(F.lit(1.0), F.lit(2.0 * per_language) / F.col("n")).alias("p"))
     kept = pool.join(F.broadcast(share), "l").where(F.pmod("h", F.lit(1_000_003)) < F.col("p") * 1_000_003)
     rows = kept.orderBy("l", "h").limit(2 * per_language * len(langs) * 2).collect()
-    texts, labels, seen = [], [], {}
+    # distinct sentences, each with the label that most documents with it carry
+    docs_of, votes, form = dict.fromkeys(langs, 0), {}, {}
     for r in rows:
-        if seen.get(r["l"], 0) < per_language:
-            seen[r["l"]] = seen.get(r["l"], 0) + 1
-            for s in sentences(r["t"])[:5]:
-                words = s.split()
-                # the sentence and its beginning, so that short pieces are known as well
-                texts += [s, " ".join(words[: 3 + len(words) % 4])]
-                labels += [r["l"]] * 2
+        if docs_of[r["l"]] < per_language:
+            docs_of[r["l"]] += 1
+            for s in set(sentences(r["t"])[:20]):
+                t = tidied(s)
+                form.setdefault(t, s)
+                votes.setdefault(t, Counter())[r["l"]] += 1
+    texts, labels, weights, held = [], [], [], Counter()
+    for t, v in sorted(votes.items(), key=lambda x: (-x[1].total(), x[0])):
+        x = max(langs, key=lambda y: v[y])
+        if held[x] < TRAIN_SENTENCES:
+            held[x] += 1
+            words = form[t].split()
+            # the sentence and its beginning, so that short pieces are known as well
+            texts += [form[t], " ".join(words[: 3 + len(words) % 4])]
+            labels += [x] * 2
+            weights += [v.total() ** 0.5] * 2
     m = Machines(families)
     if not texts:
         return m
-    m.fit(texts, labels, steps=20)
+    m.fit(texts, labels, weights, steps=25)
     guess = m.margins(texts).argmax(axis=1)
     keep = [i for i in range(len(texts)) if m.langs[guess[i]] == labels[i]]
-    m.fit([texts[i] for i in keep], [labels[i] for i in keep], steps=50)
+    m.fit([texts[i] for i in keep], [labels[i] for i in keep], [weights[i] for i in keep], steps=60)
     return m
 
 
+#: Sentences whose margins one task keeps.
+KNOWN_SENTENCES = 200_000
 #: Price of a change of language between two sentences, in units of margin.
 CHANGE = 0.9
 
@@ -202,6 +231,7 @@ def detect(df: DataFrame, key: str, text: str, machines: Machines) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         m = shared.value
+        known: dict[str, np.ndarray] = {}
         for batch in batches:
             for lo in range(0, len(batch), 256):
                 b = batch.iloc[lo : lo + 256]
@@ -209,7 +239,13 @@ def detect(df: DataFrame, key: str, text: str, machines: Machines) -> DataFrame:
                 flat = [s for c in cut for s in c]
                 if not flat:
                     continue
-                margins = np.concatenate([m.margins(flat[i : i + 2000]) for i in range(0, len(flat), 2000)])
+                tidy = [tidied(s) for s in flat]
+                fresh = [t for t in dict.fromkeys(tidy) if t not in known]
+                for i in range(0, len(fresh), 2000):
+                    known.update(zip(fresh[i : i + 2000], m.margins(fresh[i : i + 2000])))
+                margins = np.array([known[t] for t in tidy])
+                if len(known) > KNOWN_SENTENCES:
+                    known.clear()
                 letters = np.array([sum(map(len, regex.findall(r"\p{L}+", s))) for s in flat], float)
                 out, at = [], 0
                 for k, c in zip(b["k"], cut):
