@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from tallyloom.runtime import cut_lineage, not_blank, spread
 
 FREE_COMPONENTS = 4
-ROUNDS = 8
+ROUNDS = 6
 #: A term takes part if it occurs in at least MIN_DF documents and in at least this share of them, which bounds their number.
 MIN_DF, MIN_SHARE = 3, 1e-5
 MAX_BROADCAST = 256 << 20
@@ -45,14 +45,14 @@ def sentence_terms(df: DataFrame, key: str, text: str) -> DataFrame:
 def solve_rows(counts: np.ndarray, terms: np.ndarray, row: np.ndarray, n: int, h: np.ndarray, steps: int) -> np.ndarray:
     """W (n x components, rows sum to 1) for entries (row, term, count), by multiplicative updates with H fixed."""
     k = h.shape[0]
-    w = np.full((n, k), 1.0 / k)
-    ht = np.ascontiguousarray(h[:, terms].T)
+    w = np.full((n, k), 1.0 / k, np.float32)
+    ht = np.ascontiguousarray(h[:, terms].T, np.float32)
+    counts = counts.astype(np.float32)
     starts = np.r_[0, np.flatnonzero(np.diff(row)) + 1]
+    own = row[starts]
     for _ in range(steps):
-        ratio = counts / np.maximum((w[row] * ht).sum(axis=1), 1e-12)
-        up = np.zeros((n, k))
-        up[row[starts]] = np.add.reduceat(ht * ratio[:, None], starts, axis=0)
-        w = w * up
+        ratio = counts / np.maximum(np.einsum("ij,ij->i", w[row], ht), 1e-12)
+        w[own] *= np.add.reduceat(ht * ratio[:, None], starts, axis=0)
         w /= np.maximum(w.sum(axis=1, keepdims=True), 1e-12)
     return w
 
@@ -123,28 +123,42 @@ def fit(docs: DataFrame, seeds: DataFrame, assigned: DataFrame, key: str, title:
     prior_mass = 0.25 * n_docs / max(1, len(subjects))
 
     spark = docs.sparkSession
-    by_doc = cut_lineage(spread(sent.groupBy("k").agg(F.flatten(F.collect_list("terms")).alias("terms"))))
+    words_only = spark.sparkContext.broadcast(Factors(subjects, vocab, idf, h[:, :0]))
+
+    def code(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Documents as numbers of terms and weighted counts, so that no round looks words up again."""
+        m = words_only.value
+        for b in batches:
+            for lo in range(0, len(b), 500):
+                lists = b["terms"].iloc[lo : lo + 500].tolist()
+                row, term, cnt = m.entries(lists)
+                cut = np.searchsorted(row, np.arange(1, len(lists)))
+                yield pd.DataFrame({"term": np.split(term.astype(np.int32), cut), "cnt": np.split(cnt, cut)})
+
+    by_doc = spread(sent.groupBy("k").agg(F.flatten(F.collect_list("terms")).alias("terms")).select("terms"))
+    coded = cut_lineage(by_doc.mapInPandas(code, "term array<int>, cnt array<double>"))
     for _ in range(rounds):
-        model = spark.sparkContext.broadcast(Factors(subjects, vocab, idf, h))
+        model = spark.sparkContext.broadcast(h)
 
         def sums(batches: Iterator[pd.DataFrame], model=model) -> Iterator[pd.DataFrame]:
-            m = model.value
-            acc = np.zeros(m.h.shape)
+            h = model.value
+            acc = np.zeros(h.shape)
             for b in batches:
-                for lo in range(0, len(b), 500):
-                    lists = b["terms"].iloc[lo : lo + 500].tolist()
-                    row, term, cnt = m.entries(lists)
-                    if not len(row):
+                for lo in range(0, len(b), 1000):
+                    part = b.iloc[lo : lo + 1000]
+                    size = part["term"].map(len).to_numpy()
+                    if not size.sum():
                         continue
-                    w = solve_rows(cnt, term, row, len(lists), m.h, 12)
-                    part = w[row] * m.h[:, term].T
-                    part *= (cnt / np.maximum(part.sum(axis=1), 1e-12))[:, None]
+                    row, term, cnt = np.repeat(np.arange(len(part)), size), np.concatenate(part["term"].to_list()).astype(np.int64), np.concatenate(part["cnt"].to_list())
+                    w = solve_rows(cnt, term, row, len(part), h, 8)
+                    share = w[row] * h[:, term].T
+                    share *= (cnt / np.maximum(share.sum(axis=1), 1e-12))[:, None]
                     for c in range(acc.shape[0]):
-                        acc[c] += np.bincount(term, part[:, c], acc.shape[1])
+                        acc[c] += np.bincount(term, share[:, c], acc.shape[1])
             used = np.flatnonzero(acc.sum(axis=0) > 0)
             yield pd.DataFrame({"term": used, "v": list(acc[:, used].T)})
 
-        parts = by_doc.select("terms").mapInPandas(sums, "term bigint, v array<double>")
+        parts = coded.mapInPandas(sums, "term bigint, v array<double>")
         total = parts.groupBy("term").agg(F.array(*[F.sum(F.get("v", F.lit(c))) for c in range(k)]).alias("v")).collect()
         up = np.zeros_like(h)
         for r in total:
