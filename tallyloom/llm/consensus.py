@@ -14,6 +14,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.storagelevel import StorageLevel
 
 from tallyloom.runtime import cut_lineage
 
@@ -50,7 +51,10 @@ def fit_consensus(labels: DataFrame, classes: dict[str, list[str]], rounds: int
     width = max(len(c) for c in classes.values())
     index = spark.createDataFrame([(v, c, i, len(cs)) for v, cs in classes.items() for i, c in enumerate(cs)], "variable string, label string, y int, n_classes int")
     t = tally(labels).join(F.broadcast(index), ["variable", "label"]).select("variable", "item", "coder", "y", "n_classes", F.col("n").cast("double").alias("n"))
-    t = cut_lineage(t.repartition("variable", "item"))
+    # shuffled and sorted once: the cached partitions keep their order, so no round moves a label again; a lost one is made
+    # anew from the checkpoint
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    t = cut_lineage(t).repartition(parts, "variable", "item").sortWithinPartitions("variable", "item").persist(StorageLevel.MEMORY_AND_DISK)
 
     of_item = W.partitionBy("variable", "item")
     ks = list(range(width))
