@@ -923,7 +923,7 @@ def prompt_length_vs_f1(spark, d):
 
 @query("f1_with_alpha", _ML_SQL + """, n AS (SELECT model, prompt_key, id, unnest([gf1, f1]) AS v FROM al WHERE gf1 IN (""" + _CLS + """) AND f1 IN (""" + _CLS + """)), k AS (SELECT model, prompt_key, id, v, count(*)::DOUBLE AS n FROM n GROUP BY ALL),
 u AS (SELECT model, prompt_key, id, sum(n * n) AS sq FROM k GROUP BY ALL), sx AS (SELECT model, prompt_key, 2.0 * count(*) AS t, sum(4 - sq) AS d FROM u GROUP BY ALL), c AS (SELECT model, prompt_key, v, sum(n) AS c FROM k GROUP BY ALL), cc AS (SELECT model, prompt_key, sum(c * c) AS cc FROM c GROUP BY ALL)
-SELECT model, prompt_key, round(mf, 6) AS macro_f1, round(1 - d / ((t * t - cc) / (t - 1)), 6) AS alpha FROM sx JOIN cc USING (model, prompt_key) JOIN mf USING (model, prompt_key)""")
+SELECT model, prompt_key, round(mf, 6) AS macro_f1, CASE WHEN (t * t - cc) / (t - 1) > 0 THEN round(1 - d / ((t * t - cc) / (t - 1)), 6) END AS alpha FROM sx JOIN cc USING (model, prompt_key) JOIN mf USING (model, prompt_key)""")
 def f1_with_alpha(spark, d):
     rows = _aligned(spark, d).where(F.col("gf1").isin(L.FIELDS) & F.col("f1").isin(L.FIELDS))
     long = rows.select(F.concat_ws("|", *_RUN).alias("variable"), F.col("id").alias("unit"), F.explode(F.array(F.struct(F.lit("gold").alias("coder"), F.col("gf1").alias("value")), F.struct(F.lit("model").alias("coder"), F.col("f1").alias("value")))).alias("r"))
