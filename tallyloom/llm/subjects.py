@@ -120,6 +120,9 @@ def fit(docs: DataFrame, seeds: DataFrame, assigned: DataFrame, key: str, title:
     common = freq / freq.sum() * (1 - (share / share.sum(axis=0)).max(axis=0)) + 1e-7
     base = np.stack([common * rng.uniform(0.7, 1.3, len(vocab)) for _ in range(free)]) if free else np.zeros((0, len(vocab)))
     h = np.vstack([anchors, base / base.sum(axis=1, keepdims=True)]) if free else anchors
+    # a subject that no document is an anchor of is not learned: it would drift to another's terms
+    bare = [i for i, s in enumerate(subjects) if not per.get(s, 0)]
+    h[bare] = 1.0 / len(vocab)
     prior_mass = 0.25 * n_docs / max(1, len(subjects))
 
     spark = docs.sparkSession
@@ -166,6 +169,7 @@ def fit(docs: DataFrame, seeds: DataFrame, assigned: DataFrame, key: str, title:
         up[: len(subjects)] += prior_mass * anchors
         up += 1e-4
         h = up / up.sum(axis=1, keepdims=True)
+        h[bare] = 1.0 / len(vocab)
         model.unpersist()
     return Factors(subjects, vocab, idf, h), sent
 
