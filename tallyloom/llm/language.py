@@ -266,7 +266,8 @@ def detect(df: DataFrame, key: str, text: str, machines: Machines) -> DataFrame:
                     own = [(s[1], s[3]) for s in segs if s[0] == m.langs[top]]
                     conf = sum(a * b for a, b in own) / sum(b for _, b in own) * total[top] / total.sum()
                     out += [(k, len(segs), i + 1, s[0], s[1], s[2], m.langs[top], conf) for i, s in enumerate(segs)]
-                yield pd.DataFrame(out, columns=["k", "n_segments", "seg_no", "lang", "confidence", "n_chars", "doc_lang", "doc_confidence"])
+                if out:
+                    yield pd.DataFrame(out, columns=["k", "n_segments", "seg_no", "lang", "confidence", "n_chars", "doc_lang", "doc_confidence"])
 
     slim = spread(df.where(F.col(key).isNotNull() & F.col(text).isNotNull()).select(F.col(key).alias("k"), F.col(text).alias("t")))
     schema = f"k {kind}, n_segments bigint, seg_no bigint, lang string, confidence double, n_chars bigint, doc_lang string, doc_confidence double"

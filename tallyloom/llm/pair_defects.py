@@ -351,7 +351,8 @@ def pair_defects(pairs: DataFrame, key: str) -> DataFrame:
         for b in batches:
             out = [frame(c) for v in b["value"] if v for c in clauses(v) if _DONE.search(c)]
             u, n = np.unique(np.array(out, object).astype(str), return_counts=True) if out else ([], [])
-            yield pd.DataFrame({"frame": list(u), "n": np.array(n, np.int64)})
+            if out:
+                yield pd.DataFrame({"frame": list(u), "n": np.array(n, np.int64)})
 
     texts = pairs.where("variable = 'summary'").select("value")
     frames = cut_lineage(texts.mapInPandas(collect_frames, "frame string, n bigint").groupBy("frame").agg(F.sum("n").alias("n")).where("n >= 2"))
@@ -417,7 +418,8 @@ def pair_defects(pairs: DataFrame, key: str) -> DataFrame:
                     keys.append(k)
                     variables.append(var)
                     defects.append(d)
-            yield pd.DataFrame({"k": keys, "variable": variables, "defect": defects})
+            if keys:
+                yield pd.DataFrame({"k": keys, "variable": variables, "defect": defects})
 
     out = joined.select("k", "variable", "question", "given", "value", "known").mapInPandas(tag, f"k {kind}, variable string, defect string")
     return out.withColumnRenamed("k", key)

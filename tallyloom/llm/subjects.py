@@ -159,6 +159,8 @@ def fit(docs: DataFrame, seeds: DataFrame, assigned: DataFrame, key: str, title:
                     for c in range(acc.shape[0]):
                         acc[c] += np.bincount(term, share[:, c], acc.shape[1])
             used = np.flatnonzero(acc.sum(axis=0) > 0)
+            if not len(used):
+                return
             yield pd.DataFrame({"term": used, "v": list(acc[:, used].T)})
 
         parts = coded.mapInPandas(sums, "term bigint, v array<double>")
@@ -212,6 +214,8 @@ def sentence_subjects(factors: Factors, sent: DataFrame, sure: float = 0.6, topi
                 w = w[:, : len(m.subjects)]
                 top, all_ = w.argmax(axis=1), w.sum(axis=1)
                 ok = np.flatnonzero(np.isin(np.arange(len(part)), row) & (all_ >= topical) & (w.max(axis=1) >= sure * all_))
+                if not len(ok):
+                    continue
                 yield pd.DataFrame({"k": part["k"].to_numpy()[ok], "s": part["s"].to_numpy()[ok], "subject": np.array(m.subjects, object)[top[ok]], "weight": w[ok, top[ok]]})
 
     return sent.mapInPandas(run, f"k {sent.schema['k'].dataType.simpleString()}, s int, subject string, weight double")
