@@ -87,6 +87,12 @@ def document_class(c: Column) -> Column:
     return F.when(c.rlike(r"(?i)^\s*Berichtigung\b"), "correction").when(c.rlike(r"(?i)^\s*Anlage(nband)?\b"), "annex").otherwise("regular")
 
 
+def named_title(c: Column) -> Column:
+    """The title whose words stand for a document: of a correction or annex the one it names, also after a colon; else its own."""
+    rest = F.regexp_replace(c, r"(?i)^\s*(?:Berichtigung|Anlage(?:nband)?)\b[\s:–-]*", "")
+    return F.coalesce(F.nullif(referenced_title(c), F.lit("")), rest)
+
+
 FUNCTION_WORDS = "der die das den dem des und oder zur zum von vom für über mit nach ein eine einer eines auf im in an am bei".split()
 
 

@@ -705,7 +705,7 @@ def final_selection(spark, d):
 @query("children_attached")
 def children_attached(spark, d):
     p = table(spark, d, "final_policy_set").where("title IS NOT NULL AND date_published IS NOT NULL").groupBy("id").agg(F.min("title").alias("title"), F.min("date_published").alias("date_published"))
-    docs = p.select("id", "date_published", F.when(F.endswith("id", F.lit("-9")), "correction").otherwise("regular").alias("doc_class"), T.stems(F.col("title")).alias("stems"))
+    docs = p.select("id", "date_published", T.document_class(F.col("title")).alias("doc_class"), T.stems(T.named_title(F.col("title"))).alias("stems"))
     topic_of = p.select("id", (F.pmod(F.xxhash64("title"), F.lit(7))).cast("int").alias("topic_id"))
     return selection.attach_children(docs, topic_of, "date_published")
 
