@@ -14,6 +14,8 @@ from tallyloom.runtime import cut_lineage
 
 #: Bytes up to which a matrix of reference vectors is broadcast.
 MAX_MATRIX = 256 << 20
+#: Vectors in one block where all are compared with all.
+BLOCK_ROWS = 2000
 
 
 def _matrix(refs: DataFrame, key: str, vec: str) -> tuple[list, np.ndarray]:
@@ -118,32 +120,59 @@ def diverse_top(cands: DataFrame, topic: str, word: str, score: str, vec: str, k
     return best.groupBy(topic).applyInPandas(pick, f"{topic} {tt}, place int, {word} string")
 
 
-def density_clusters(docs: DataFrame, key: str, vec: str, least: float = 0.8, core: int = 5, smallest: int = 10, planes: int = 6, tables: int = 8, seed: int = 42) -> DataFrame:
+def near_pairs(base: DataFrame, least: float, block: int = BLOCK_ROWS) -> DataFrame:
+    """``(x, y, s)``: every pair of different keys of ``base`` (k, v) with a cosine ``s`` of at least ``least``, in both directions.
+
+    Exact: each block of about ``block`` vectors is multiplied with itself and every later block. Zero vectors have cosine 0;
+    of a repeated key the nearest vector counts.
+    """
+    kt = base.schema["k"].dataType.simpleString()
+    nb = max(1, -(-base.count() // block))
+    part = base.withColumn("b", F.pmod(F.xxhash64("k"), F.lit(nb)).cast("int"))
+    left = part.withColumn("i", F.col("b")).withColumn("j", F.explode(F.sequence(F.col("b"), F.lit(nb - 1))))
+    right = part.withColumn("j", F.col("b")).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("b"))))
+
+    def unit(v: pd.Series) -> np.ndarray:
+        m = np.stack(v.to_numpy()).astype(np.float64)
+        return m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)
+
+    def compare(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        if len(a) and len(b):
+            ka, kb, ub = a["k"].to_numpy(), b["k"].to_numpy(), unit(b["v"])
+            ua, own = unit(a["v"]), a["i"].iloc[0] == a["j"].iloc[0]
+            for lo in range(0, len(ka), 500):
+                s = np.round(ua[lo : lo + 500] @ ub.T, 12)
+                r, c = np.nonzero(s >= least)
+                x, y, v = ka[lo + r], kb[c], s[r, c]
+                # a block meets itself once and gives both directions, two blocks meet in one of them
+                ok = x < y if own else np.full(len(x), True)
+                out.append(pd.DataFrame({"x": x[ok], "y": y[ok], "s": v[ok]}))
+        return pd.concat(out) if out else pd.DataFrame({"x": [], "y": [], "s": []})
+
+    # one partition for each pair of blocks at most, as adaptive execution would put them together by their few bytes
+    parts = min(2000, nb * (nb + 1) // 2)
+    left, right = left.select("i", "j", "k", "v").repartition(parts, "i", "j"), right.select("i", "j", "k", "v").repartition(parts, "i", "j")
+    half = cut_lineage(left.groupBy("i", "j").cogroup(right.groupBy("i", "j")).applyInPandas(compare, f"x {kt}, y {kt}, s double"))
+    both = half.unionByName(half.select(F.col("y").alias("x"), F.col("x").alias("y"), "s"))
+    return both.groupBy("x", "y").agg(F.max("s").alias("s"))
+
+
+def density_clusters(docs: DataFrame, key: str, vec: str, least: float = 0.8, core: int = 5, smallest: int = 10, planes: int = 6, tables: int = 8, seed: int = 42, block: int = BLOCK_ROWS) -> DataFrame:
     """``(key, cluster)``: connected dense regions under cosine, -1 for noise.
 
-    Pairs are looked for within cells of random hyperplanes over several tables (never all pairs); a document with ``core``
-    neighbours of at least ``least`` is a core; cores that are neighbours are one cluster, found by propagating the
-    smallest key; other documents join the nearest core's cluster; clusters under ``smallest`` are noise. A cell whose
-    members exceed a block is compared block by block by salted self-join.
+    All vectors are compared in blocks, so no neighbour is missed (``planes``, ``tables`` and ``seed`` of the former search
+    in cells are accepted and not read); a document with ``core`` neighbours of at least ``least`` is a core; cores that are
+    neighbours are one cluster, found by propagating the smallest key until nothing moves; other documents join the nearest
+    core's cluster; clusters under ``smallest`` are noise.
     """
-    dim = docs.select(F.max(F.size(vec))).collect()[0][0] or 1
-    rng = np.random.default_rng(seed)
-    normals = rng.standard_normal((tables, planes, dim))
-    unit = F.transform(vec, lambda x: x.cast("double") / F.sqrt(F.aggregate(vec, F.lit(0.0), lambda s, y: s + y.cast("double") * y.cast("double"))))
-    base = docs.where(F.col(key).isNotNull() & F.col(vec).isNotNull()).select(F.col(key).alias("k"), unit.alias("v"))
-    side = lambda n: F.when(F.aggregate(F.zip_with("v", F.array(*[F.lit(float(x)) for x in n]), lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x) >= 0, F.lit("1")).otherwise(F.lit("0"))
-    cells = F.array(*[F.concat(F.lit(f"{t}:"), *[side(normals[t, p]) for p in range(planes)]) for t in range(tables)])
-    keyed = cut_lineage(base.select("k", "v", F.explode(cells).alias("cell")))
-    blocks = keyed.groupBy("cell").agg(F.greatest(F.ceil(F.count("*") / 2000), F.lit(1)).cast("int").alias("nb"))
-    left = keyed.join(F.broadcast(blocks), "cell").withColumn("b", F.pmod(F.xxhash64("k"), F.col("nb")).cast("int"))
-    right = left.withColumn("b2", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
-    dot = F.aggregate(F.zip_with("a.v", "b.v", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-    pairs = left.alias("a").join(right.alias("b"), (F.col("a.cell") == F.col("b.cell")) & (F.col("a.b") == F.col("b.b2")) & (F.col("a.k") != F.col("b.k")))
-    near = cut_lineage(pairs.select(F.col("a.k").alias("x"), F.col("b.k").alias("y"), dot.alias("s")).where(F.col("s") >= least).distinct())
+    base = docs.where(F.col(key).isNotNull() & F.col(vec).isNotNull()).select(F.col(key).alias("k"), F.col(vec).alias("v"))
+    near = cut_lineage(near_pairs(base, least, block))
     cores = cut_lineage(near.groupBy("x").agg(F.count("*").alias("n")).where(F.col("n") >= core).select(F.col("x").alias("k")))
     edges = cut_lineage(near.join(cores.select(F.col("k").alias("x")), "x").join(cores.select(F.col("k").alias("y")), "y").select("x", "y"))
     label = cores.select("k", F.col("k").alias("c"))
-    for _ in range(50):
+    # a label only ever falls to a smaller key, so this ends
+    while True:
         best = edges.join(label.select(F.col("k").alias("y"), F.col("c").alias("cy")), "y").groupBy("x").agg(F.min("cy").alias("m"))
         step = label.join(best, label["k"] == best["x"], "left").select("k", F.least("c", F.coalesce("m", "c")).alias("c2"), "c")
         # follow the label of the label, which halves long chains

@@ -1,6 +1,9 @@
 """Queries and operators do the whole job, on small tables of their own."""
 
+import numpy as np
+
 from tallyloom import queries as core
+from tallyloom.operators import topics
 
 
 def test_corrections_take_the_topic_of_their_parent(spark, tmp_path):
@@ -14,3 +17,40 @@ def test_corrections_take_the_topic_of_their_parent(spark, tmp_path):
         "v-2001-1-1": ("cluster", None), "v-2001-1-9": ("cluster", None), "v-2001-2-3": ("parent", "v-2001-1-1"), "v-2001-2-4": ("parent", "v-2001-1-9"), "v-2001-2-5": ("transform", None),
     }
     assert got["v-2001-2-3"]["topic_id"] == got["v-2001-1-1"]["topic_id"] and got["v-2001-2-4"]["topic_id"] == got["v-2001-1-9"]["topic_id"]
+
+
+def _brute_clusters(v, least, core_n, smallest):
+    u = v / np.linalg.norm(v, axis=1, keepdims=True)
+    near = u @ u.T >= least
+    np.fill_diagonal(near, False)
+    core_of = near.sum(axis=1) >= core_n
+    label = np.where(core_of, np.arange(len(v)), -1)
+    moved = True
+    while moved:
+        new = np.array([min([label[i], *label[near[i] & core_of]]) if core_of[i] else -1 for i in range(len(v))])
+        moved, label = (new != label).any(), new
+    for i in np.flatnonzero(~core_of & (near & core_of).any(axis=1)):
+        j = np.flatnonzero(near[i] & core_of)
+        label[i] = label[j[(u[j] @ u[i]).argmax()]]
+    size = {c: (label == c).sum() for c in set(label)}
+    return [int(c) if c >= 0 and size[c] >= smallest else -1 for c in label]
+
+
+def test_density_clusters_miss_no_neighbour(spark):
+    # cosines about the threshold of 0.55, at which a search in cells of planes loses many pairs
+    rng = np.random.default_rng(5)
+    centre = rng.standard_normal((4, 16))
+    v = np.vstack([centre[i % 4] + 0.85 * rng.standard_normal(16) for i in range(160)])
+    u = v / np.linalg.norm(v, axis=1, keepdims=True)
+    want = {(i, j) for i, j in zip(*np.nonzero(u @ u.T >= 0.55)) if i != j}
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "id int, v array<double>")
+    near = topics.near_pairs(df.selectExpr("id AS k", "v"), 0.55, block=50)
+    assert {(r["x"], r["y"]) for r in near.collect()} == want and near.count() == len(want)
+    got = {r["id"]: r["cluster"] for r in topics.density_clusters(df, "id", "v", least=0.55, core=12, smallest=5).collect()}
+    assert [got[i] for i in range(160)] == _brute_clusters(v, 0.55, 12, 5)
+
+
+def test_density_clusters_take_zero_and_null_vectors(spark):
+    df = spark.createDataFrame([(i, [1.0, 0.01 * i]) for i in range(6)] + [(6, [0.0, 0.0]), (7, None)], "id int, v array<double>")
+    got = {r["id"]: r["cluster"] for r in topics.density_clusters(df, "id", "v", least=0.9, core=3, smallest=5, block=2).collect()}
+    assert got == {**dict.fromkeys(range(6), 0), 6: -1}
