@@ -18,23 +18,39 @@ MAX_MATRIX = 256 << 20
 BLOCK_ROWS = 2000
 
 
-def _matrix(refs: DataFrame, key: str, vec: str) -> tuple[list, np.ndarray]:
+def _blocks(refs: DataFrame, vec: str, most: int) -> list[DataFrame]:
+    """The references in parts whose matrices hold about ``most`` bytes at the most."""
     n = refs.count()
     size = refs.select(F.max(F.size(vec))).collect()[0][0] or 0
-    if n * size * 8 > MAX_MATRIX:
-        raise ValueError("too many reference vectors to broadcast; split them into blocks")
+    # half of the bound, as hashing does not fill the blocks evenly
+    nb = 1 if n * size * 8 <= most else -(-n * size * 16 // most)
+    return [refs] if nb == 1 else [refs.where(F.pmod(F.xxhash64(vec), F.lit(nb)) == i) for i in range(nb)]
+
+
+def _matrix(refs: DataFrame, key: str, vec: str) -> tuple[list, np.ndarray]:
     rows = refs.select(key, vec).orderBy(key).collect()
     m = np.array([r[1] for r in rows], np.float64).reshape(len(rows), -1)
     return [r[0] for r in rows], m
 
 
-def max_similarity(docs: DataFrame, key: str, vec: str, refs: DataFrame, ref_key: str, ref_vec: str) -> DataFrame:
-    """``(key, similarity, nearest)``: greatest cosine of every document to a small set of reference vectors.
+def max_similarity(docs: DataFrame, key: str, vec: str, refs: DataFrame, ref_key: str, ref_vec: str, most: int = MAX_MATRIX) -> DataFrame:
+    """``(key, similarity, nearest)``: greatest cosine of every document to the reference vectors.
 
-    The references (size checked) are one broadcast matrix; a block of documents is multiplied with it at a time, so no
+    The references are one broadcast matrix, or one after another where they exceed ``most`` bytes; a block of documents is multiplied with it at a time, so no
     pairs of rows are made. Zero vectors have similarity 0; of equals the smallest reference key wins. Null vectors and empty
     references give null.
     """
+    blocks = _blocks(refs, ref_vec, most)
+    if len(blocks) > 1:
+        # each part writes its best to the checkpoint, so that one matrix is held at a time; rows are known by a number, as keys may repeat
+        num = cut_lineage(docs.select(F.monotonically_increasing_id().alias("__n"), F.col(key).alias("__k"), F.col(vec).alias("__v")))
+        best = None
+        for part in blocks:
+            got = max_similarity(num, "__n", "__v", part, ref_key, ref_vec, 1 << 62)
+            best = cut_lineage(got if best is None else best.unionByName(got))
+        w = W.partitionBy("__n").orderBy(F.desc_nulls_last(F.round("similarity", 12)), F.asc_nulls_last("nearest"))
+        top = best.withColumn("__r", F.row_number().over(w)).where("__r = 1")
+        return num.select("__n", "__k").join(top, "__n").select(F.col("__k").alias(key), "similarity", "nearest")
     names, m = _matrix(refs, ref_key, ref_vec)
     unit = m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)
     shared = docs.sparkSession.sparkContext.broadcast((names, unit))

@@ -617,6 +617,19 @@ def similarity_triage(spark, d):
     return s.withColumn("bucket", topics.bucket(F.col("similarity"), 0.6, 0.3))
 
 
+_WHOLE_TRIAGE_SQL = """WITH s AS (SELECT a.vec_id, max(round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6)) AS similarity FROM embeddings a, embeddings b WHERE b.vec_id % 50 = 0 GROUP BY 1),
+t AS (SELECT vec_id, similarity, CASE WHEN similarity >= 0.6 THEN 'auto' WHEN similarity >= 0.3 THEN 'borderline' ELSE 'below' END AS bucket FROM s)"""
+
+
+@query("similarity_triage_whole", _WHOLE_TRIAGE_SQL + " SELECT * FROM t")
+def similarity_triage_whole(spark, d):
+    """As similarity_triage, with every vector whose id is divisible by 50 as a reference, however many they are."""
+    e = table(spark, d, "embeddings").select("vec_id", "embedding")
+    s = topics.max_similarity(e, "vec_id", "embedding", e.where("vec_id % 50 = 0"), "vec_id", "embedding")
+    s = s.select("vec_id", F.round("similarity", 6).alias("similarity"))
+    return s.withColumn("bucket", topics.bucket(F.col("similarity"), 0.6, 0.3))
+
+
 @query("pair_cosines", f"SELECT a.vec_id, b.vec_id AS other, round({_DOT} / (sqrt(list_inner_product(a.embedding::DOUBLE[], a.embedding::DOUBLE[])) * sqrt(list_inner_product(b.embedding::DOUBLE[], b.embedding::DOUBLE[]))), 6) AS cosine FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1")
 def pair_cosines(spark, d):
     e = table(spark, d, "embeddings")
@@ -694,6 +707,14 @@ def triage_applied(spark, d):
     return selection.triage_apply(e.where("vec_id < 50"), e.where("vec_id BETWEEN 50 AND 99"), dec, "vec_id", "date").select("vec_id")
 
 
+@query("triage_applied_whole", _WHOLE_TRIAGE_SQL + " SELECT vec_id FROM t WHERE bucket = 'auto' OR (bucket = 'borderline' AND vec_id % 2 = 0)")
+def triage_applied_whole(spark, d):
+    """As triage_applied, fed from the buckets of the whole table."""
+    s = similarity_triage_whole(spark, d).withColumn("date", F.lit("2020-01-01"))
+    dec = s.select(F.col("vec_id").alias("key"), F.when(F.col("vec_id") % 2 == 0, "y").otherwise("n").alias("decision"))
+    return selection.triage_apply(s.where("bucket = 'auto'"), s.where("bucket = 'borderline'"), dec, "vec_id", "date").select("vec_id")
+
+
 @query("final_selection", _POOL_SQL + ", x AS (SELECT u.*, year(try_strptime(substr(id, 6, 4), '%Y'))::INT % 10 AS topic_id FROM u) SELECT title, id FROM x WHERE source = 'both' OR starts_with(title, 'Erste') OR topic_id = 3 OR id = (SELECT min(id) FROM u)")
 def final_selection(spark, d):
     u = _pool(spark, d).withColumn("topic_id", F.substring("id", 6, 4).try_cast("int") % 10)

@@ -1,5 +1,7 @@
 """Queries and operators do the whole job, on small tables of their own."""
 
+import math
+
 import numpy as np
 
 from tallyloom import queries as core
@@ -54,3 +56,20 @@ def test_density_clusters_take_zero_and_null_vectors(spark):
     df = spark.createDataFrame([(i, [1.0, 0.01 * i]) for i in range(6)] + [(6, [0.0, 0.0]), (7, None)], "id int, v array<double>")
     got = {r["id"]: r["cluster"] for r in topics.density_clusters(df, "id", "v", least=0.9, core=3, smallest=5, block=2).collect()}
     assert got == {**dict.fromkeys(range(6), 0), 6: -1}
+
+
+def test_references_over_the_matrix_bound_are_compared_in_blocks(spark):
+    v = [(i, [math.cos(i), math.sin(i)]) for i in range(40)] + [(40, [0.0, 0.0]), (41, None), (3, [1.0, 1.0])]
+    df = spark.createDataFrame(v, "id int, v array<double>")
+    refs = df.where("id % 5 = 0 AND id < 40")
+    one = topics.max_similarity(df, "id", "v", refs, "id", "v")
+    many = topics.max_similarity(df, "id", "v", refs, "id", "v", most=64)
+    show = lambda x: sorted((r["id"], None if r["similarity"] is None else round(r["similarity"], 9), r["nearest"]) for r in x.collect() if r["id"] != 41)
+    assert show(one) == show(many) and one.count() == many.count() == 43
+
+
+def test_triage_reads_the_whole_table(spark, tmp_path):
+    v = [(i, [1.0, 0.0] if i < 150 else [0.0, 1.0]) for i in range(300)]
+    spark.createDataFrame(v, "vec_id int, embedding array<double>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    assert core.Q["similarity_triage_whole"](spark, str(tmp_path)).where("bucket = 'auto'").count() == 300
+    assert core.Q["triage_applied_whole"](spark, str(tmp_path)).count() == 300
