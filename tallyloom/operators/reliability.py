@@ -45,6 +45,13 @@ def agreement(ratings: DataFrame) -> DataFrame:
     return full.groupBy("variable").agg(F.count("*").alias("n_units"), F.avg((F.col("v") == 1).cast("double")).alias("agreement"))
 
 
+def pair_agreement(ratings: DataFrame) -> DataFrame:
+    """``(variable, coder_a, coder_b, n_units, agreement)`` per pair of coders over the units both rated."""
+    keyed = ratings.where("value IS NOT NULL").withColumn("__u", F.struct("variable", "unit"))
+    p = coder_pairs(keyed.select("__u", "coder", "value"), "__u", "coder", "value")
+    return p.groupBy(F.col("__u.variable").alias("variable"), "coder_a", "coder_b").agg(F.count("*").alias("n_units"), F.avg((F.col("a") == F.col("b")).cast("double")).alias("agreement"))
+
+
 def missing_counts(ratings: DataFrame) -> DataFrame:
     """``na`` answers and missing ratings per variable and coder."""
     return ratings.groupBy("variable", "coder").agg(F.count("*").alias("n"), F.count_if(F.col("value") == "na").alias("n_na"), F.count_if(F.col("value").isNull()).alias("n_missing"))

@@ -474,6 +474,17 @@ def confusion_grid(spark, d):
     return evaluate.confusion(_aligned(spark, d).where("model = 'cyan-large'"), "gf1", "f1", L.FIELDS)
 
 
+@query("confusion_by_model")
+def confusion_by_model(spark, d):
+    """As confusion_grid, for every model with the prompt that best_prompt names."""
+    a = _aligned(spark, d)
+    best = best_prompt(spark, d).select(*_RUN)
+    pairs = a.join(F.broadcast(best), _RUN).groupBy(*_RUN, "gf1", "f1").agg(F.count("*").alias("n"))
+    one = F.array(*[F.lit(c) for c in L.FIELDS])
+    grid = best.withColumn("gf1", F.explode(one)).withColumn("f1", F.explode(one))
+    return grid.join(pairs, [*_RUN, "gf1", "f1"], "left").select(*_RUN, "gf1", "f1", F.coalesce("n", F.lit(0)).alias("n"))
+
+
 _RATE_SQL = """r AS (SELECT v AS variable, id AS unit, file_name AS coder, CASE WHEN has THEN CASE WHEN x IS NULL OR lower(trim(x)) IN ('', 'none', 'null') THEN 'na' ELSE lower(trim(x)) END END AS value FROM
  (SELECT v, id, file_name, list_contains(map_keys(gs_labels), v) AS has, gs_labels[v].value AS x FROM (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id, file_name ORDER BY gold_row) AS q FROM gold WHERE gs_labels IS NOT NULL) WHERE q = 1) g, (VALUES ('social_policy_field_1'), ('crisis_ref')) t(v)))"""
 
@@ -514,6 +525,13 @@ def coder_agreement(spark, d):
     return reliability.agreement(two).withColumn("agreement", F.round("agreement", 6))
 
 
+@query("coder_agreement_pairs", f"""WITH {_RATE_SQL} SELECT a.variable, a.coder AS coder_a, b.coder AS coder_b, count(*)::BIGINT AS n_units, round(avg((a.value = b.value)::INT), 6) AS agreement
+FROM r a JOIN r b USING (variable, unit) WHERE a.coder < b.coder AND a.value IS NOT NULL AND b.value IS NOT NULL GROUP BY ALL""")
+def coder_agreement_pairs(spark, d):
+    """As coder_agreement, for every pair of coders instead of two named ones."""
+    return reliability.pair_agreement(_ratings(spark, d)).withColumn("agreement", F.round("agreement", 6))
+
+
 @query("labels_long", "SELECT gold_row, e.key AS field, e.value.value AS value, e.value.coder AS coder, e.value.date AS date FROM (SELECT gold_row, unnest(map_entries(gs_labels)) AS e FROM gold WHERE gs_labels IS NOT NULL)")
 def labels_long(spark, d):
     g = table(spark, d, "gold").where("gs_labels IS NOT NULL").select("gold_row", F.explode("gs_labels").alias("field", "x"))

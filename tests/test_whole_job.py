@@ -5,7 +5,7 @@ import math
 import numpy as np
 
 from tallyloom import queries as core
-from tallyloom.operators import topics
+from tallyloom.operators import reliability, topics
 
 
 def test_corrections_take_the_topic_of_their_parent(spark, tmp_path):
@@ -73,3 +73,16 @@ def test_triage_reads_the_whole_table(spark, tmp_path):
     spark.createDataFrame(v, "vec_id int, embedding array<double>").write.parquet(f"{tmp_path}/embeddings.parquet")
     assert core.Q["similarity_triage_whole"](spark, str(tmp_path)).where("bucket = 'auto'").count() == 300
     assert core.Q["triage_applied_whole"](spark, str(tmp_path)).count() == 300
+
+
+def test_confusion_has_every_model_with_its_best_prompt(spark, data):
+    got = core.Q["confusion_by_model"](spark, data).collect()
+    runs = {(r["model"], r["prompt_key"]) for r in got}
+    scored = core._macro(spark, data).where("macro_f1 IS NOT NULL").collect()
+    assert {m for m, _ in runs} == {r["model"] for r in scored} and len(runs) == len({m for m, _ in runs}) > 1
+    assert runs == {(r["model"], r["prompt_key"]) for r in core.Q["best_prompt"](spark, data).collect()}
+
+
+def test_agreement_of_every_pair_of_coders(spark):
+    r = spark.createDataFrame([("v", u, c, x) for u, c, x in [(1, "a", "1"), (1, "b", "1"), (2, "a", "1"), (2, "b", "0"), (2, "c", "0"), (3, "c", "1"), (3, "a", None)]], "variable string, unit int, coder string, value string")
+    assert sorted(tuple(x) for x in reliability.pair_agreement(r).collect()) == [("v", "a", "b", 2, 0.5), ("v", "a", "c", 1, 0.0), ("v", "b", "c", 1, 1.0)]
