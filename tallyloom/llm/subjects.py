@@ -21,7 +21,9 @@ from pyspark.sql import functions as F
 from tallyloom.runtime import cut_lineage, not_blank, spread
 
 FREE_COMPONENTS = 4
-ROUNDS = 6
+ROUNDS = 8
+#: Updates of each row of W in a round.
+ROW_STEPS = 12
 #: A term takes part if it occurs in at least MIN_DF documents and in at least this share of them, which bounds their number.
 MIN_DF, MIN_SHARE = 3, 1e-5
 MAX_BROADCAST = 256 << 20
@@ -153,7 +155,7 @@ def fit(docs: DataFrame, seeds: DataFrame, assigned: DataFrame, key: str, title:
                     if not size.sum():
                         continue
                     row, term, cnt = np.repeat(np.arange(len(part)), size), np.concatenate(part["term"].to_list()).astype(np.int64), np.concatenate(part["cnt"].to_list())
-                    w = solve_rows(cnt, term, row, len(part), h, 8)
+                    w = solve_rows(cnt, term, row, len(part), h, ROW_STEPS)
                     share = w[row] * h[:, term].T
                     share *= (cnt / np.maximum(share.sum(axis=1), 1e-12))[:, None]
                     for c in range(acc.shape[0]):
