@@ -2,9 +2,9 @@
 
 Texts are cut into pieces by the vocabulary's pattern; every distinct piece of an Arrow batch is encoded once. Pieces are
 bucketed by byte length into padded numpy matrices of token ids. In every round each row merges its leftmost pair of
-minimum rank: pair ranks come from a hashed (sorted-key) lookup for the whole matrix at once, the merged column is
-compacted away, and rows without a pair leave the matrix. Very long pieces merge all non-overlapping occurrences of their
-minimum-rank pair in one round, which gives the same ids, as a pair with a merged token always has a higher rank.
+minimum rank, and with it the later occurrences of that pair that do not overlap: these would be the next rounds' choices,
+as a pair with a merged token always has a higher rank. Pair ranks come from a hashed lookup for the whole matrix at once,
+the merged places are compacted away, and rows without a pair leave the matrix. Pieces of every length go this way.
 """
 
 from __future__ import annotations
@@ -16,6 +16,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import regex
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -25,8 +26,6 @@ TOKENIZERS = os.environ.get("TOKENIZERS_DIR", "/opt/tokenizers")
 #: The pattern published with this vocabulary family.
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 NO_RANK = np.int64(1) << 40
-#: Pieces longer than this take the all-occurrences round.
-LONG_PIECE = 64
 #: Distinct pieces kept between batches by one Python worker.
 CACHE_PIECES = 200_000
 
@@ -96,11 +95,9 @@ def encode_pieces(pieces: list[bytes], vocab: Vocabulary) -> list[np.ndarray]:
     """Token ids of every piece (a non-empty byte string)."""
     out: list[np.ndarray | None] = [None] * len(pieces)
     size = np.array([len(p) for p in pieces], np.int64)
-    for i in np.flatnonzero(size > LONG_PIECE):
-        out[i] = _encode_long(pieces[i], vocab)
     bucket = 1 << np.ceil(np.log2(np.maximum(size, 1))).astype(np.int64)
-    for width in np.unique(bucket[size <= LONG_PIECE]):
-        members = np.flatnonzero((bucket == width) & (size <= LONG_PIECE))
+    for width in np.unique(bucket):
+        members = np.flatnonzero(bucket == width)
         for part in np.array_split(members, max(1, len(members) * int(width) // 2_000_000)):
             for i, ids in zip(part, _encode_matrix([pieces[i] for i in part], int(width), vocab)):
                 out[i] = ids
@@ -112,66 +109,54 @@ def _encode_matrix(pieces: list[bytes], width: int, vocab: Vocabulary) -> list[n
     lens = np.array([len(p) for p in pieces], np.int64)
     flat = np.frombuffer(b"".join(pieces), np.uint8)
     m = np.full((n, width), -1, np.int64)
-    col = np.arange(width)
-    m[col[None, :] < lens[:, None]] = vocab.byte_id[flat]
-    result = m.copy()
-    final = lens.copy()
+    m[np.arange(width)[None, :] < lens[:, None]] = vocab.byte_id[flat]
+    out: list[np.ndarray | None] = [None] * n
     rows = np.arange(n)
-    rank = vocab.pair_rank(m[:, :-1], m[:, 1:]) if width > 1 else np.full((n, 0), NO_RANK)
-    while len(rows) and m.shape[1] > 1:
-        at = rank.argmin(axis=1)
-        ix = np.arange(len(rows))
-        best = rank[ix, at]
+    # rank[i, j] is that of the pair (j, j + 1); the last column has no pair
+    rank = np.full((n, width), NO_RANK)
+    if width > 1:
+        rank[:, :-1] = vocab.pair_rank(m[:, :-1], m[:, 1:])
+    while len(rows):
+        w = m.shape[1]
+        best = rank.min(axis=1)
         done = best == NO_RANK
         if done.any():
-            result[rows[done], : m.shape[1]] = m[done]
-            final[rows[done]] = lens[done]
-            keep = ~done
-            m, lens, rows, rank, at, best = m[keep], lens[keep], rows[keep], rank[keep], at[keep], best[keep]
+            for i, r, k in zip(rows[done], m[done], lens[done]):
+                out[i] = r[:k].copy()
+            m, lens, rows, rank, best = m[~done], lens[~done], rows[~done], rank[~done], best[~done]
             if not len(rows):
                 break
-            ix = np.arange(len(rows))
-        m[ix, at] = best
-        w = m.shape[1]
-        # drop column at+1 of every row, and the pair rank that went with it
-        src = np.arange(w - 1)[None, :] + (np.arange(w - 1)[None, :] > at[:, None])
-        m = np.take_along_axis(m, src, axis=1)
-        lens = lens - 1
-        if w - 1 < 2:
-            rank = np.full((len(rows), 0), NO_RANK)
-            continue
-        src = np.arange(w - 2)[None, :] + (np.arange(w - 2)[None, :] > at[:, None])
-        rank = np.take_along_axis(rank, np.minimum(src, w - 2), axis=1)
-        right = at < w - 2
-        rank[ix[right], at[right]] = vocab.pair_rank(m[ix[right], at[right]], m[ix[right], at[right] + 1])
-        left = at > 0
-        rank[ix[left], at[left] - 1] = vocab.pair_rank(m[ix[left], at[left] - 1], m[ix[left], at[left]])
-        used = int(lens.max())
-        if used < m.shape[1]:
-            m, rank = m[:, :used], rank[:, : max(used - 1, 0)]
-    if len(rows):
-        result[rows, : m.shape[1]] = m
-        final[rows] = lens
-    return [result[i, : final[i]].copy() for i in range(n)]
-
-
-def _encode_long(piece: bytes, vocab: Vocabulary) -> np.ndarray:
-    ids = vocab.byte_id[np.frombuffer(piece, np.uint8)].copy()
-    while len(ids) > 1:
-        rank = vocab.pair_rank(ids[:-1], ids[1:])
-        best = rank.min()
-        if best == NO_RANK:
-            break
-        at = np.flatnonzero(rank == best)
-        # of overlapping occurrences every second one counts, from the left of each chain
-        chain = np.r_[True, np.diff(at) > 1]
-        start = np.maximum.accumulate(np.where(chain, np.arange(len(at)), 0))
-        at = at[(np.arange(len(at)) - start) % 2 == 0]
-        ids[at] = best
-        keep = np.ones(len(ids), bool)
-        keep[at + 1] = False
-        ids = ids[keep]
-    return ids
+        take = rank == best[:, None]
+        # of occurrences that overlap every second one counts, from the left of each chain
+        if (take[:, 1:] & take[:, :-1]).any():
+            col = np.arange(w)[None, :]
+            before = np.maximum.accumulate(np.where(take, -1, col), axis=1)
+            take &= (col - before) % 2 == 1
+        keep = np.ones(m.shape, bool)
+        keep[:, 1:] = ~take[:, :-1]
+        m = np.where(take, best[:, None], m)
+        gone = take.sum(axis=1)
+        lens, left = lens - gone, w - gone
+        to = min(int(left.max()), int(lens.max()))
+        m, rank, fresh = (_compact(x, keep, left, to, e) for x, e in ((m, -1), (rank, NO_RANK), (take, False)))
+        # the pairs that begin or end with a merged token
+        fresh[:, :-1] |= fresh[:, 1:]
+        r, c = np.nonzero(fresh)
+        inner = c < to - 1
+        rank[r[~inner], c[~inner]] = NO_RANK
+        r, c = r[inner], c[inner]
+        rank[r, c] = vocab.pair_rank(m[r, c], m[r, c + 1])
+    return out
+
+
+def _compact(x: np.ndarray, keep: np.ndarray, left: np.ndarray, to: int, empty) -> np.ndarray:
+    """The kept places of every row (``left`` of them) moved together, in ``to`` columns; what is cut off is padding."""
+    width = int(left.max())
+    if int(left.min()) == width:
+        return np.ascontiguousarray(x[keep].reshape(len(x), width)[:, :to])
+    out = np.full((len(x), width), empty, x.dtype)
+    out[np.arange(width)[None, :] < left[:, None]] = x[keep]
+    return np.ascontiguousarray(out[:, :to])
 
 
 _VOCABS: dict[str, Vocabulary] = {}
@@ -246,11 +231,13 @@ def _chunks(texts: list[str], chars: int = 2_000_000) -> Iterator[tuple[int, int
 
 def _narrow(df: DataFrame, key: str, text: str, path: str | None, pattern: str, result: str, build) -> DataFrame:
     path = path or os.path.join(TOKENIZERS, "byte_bpe_50k.tiktoken")
+    # the file goes along with the job; a worker that has it under the same path need not fetch it
+    df.sparkSession.sparkContext.addFile(path)
     kind = df.schema[key].dataType.simpleString()
     name, sql_type = result.split()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = Encoder(path, pattern)
+        enc = Encoder(path if os.path.exists(path) else SparkFiles.get(os.path.basename(path)), pattern)
         for b in batches:
             texts = [t or "" for t in b.column(1).to_pylist()]
             for lo, hi in _chunks(texts):

@@ -1,15 +1,15 @@
 """Filling fixed-capacity containers with whole items, planned over the histogram of lengths.
 
-The plan is made for counts of lengths, of which there are at most ``capacity``, not for documents: a container pattern
-takes the largest length left and then, again and again, the largest that still fits (best fit); the pattern is repeated
-as often as its counts allow, so at least one length is used up by every pattern. Documents then take the planned slots by
-their rank within their length. Ranks are counted in hashed chunks of a length and shifted by the sizes of the chunks
-before, so that a length that a third of all documents share is still ranked by many tasks.
+The plan is made for counts of lengths, of which there are at most ``capacity``, not for documents: lengths are taken in
+falling order, and each item goes into the open container with the least room that still holds it (best fit decreasing).
+Containers with the same contents are one group with a count, so all items of a length are placed at once. Documents then
+take the planned slots by their rank within their length. Ranks are counted in hashed chunks of a length and shifted by
+the sizes of the chunks before, so that a length that a third of all documents share is still ranked by many tasks.
 """
 
 from __future__ import annotations
 
-from bisect import bisect_right
+from bisect import bisect_left, insort
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,30 +26,46 @@ CHUNK_ITEMS = 200_000
 
 
 def plan(histogram: dict[int, int], capacity: int) -> tuple[list[tuple[int, dict[int, int]]], int]:
-    """Patterns ``(times, {length: items per container})`` that place all items, and the number of containers."""
+    """Patterns ``(times, {length: items per container})`` that place all items, and the number of containers.
+
+    The same containers as best fit decreasing item by item would open, as equal items and equal containers are taken
+    together.
+    """
     left = {s: c for s, c in histogram.items() if 0 < s <= capacity and c > 0}
-    sizes = sorted(left)
-    patterns, n = [], 0
-    while sizes:
-        room, use, top = capacity, {}, len(sizes)
-        while True:
-            at = bisect_right(sizes, room, 0, top)
-            while at and left[sizes[at - 1]] == use.get(sizes[at - 1], 0):
-                at -= 1
-            if not at:
-                break
-            s = sizes[at - 1]
-            k = min(left[s] - use.get(s, 0), room // s)
-            use[s] = use.get(s, 0) + k
-            room -= k * s
-            top = at
-        times = min(left[s] // k for s, k in use.items())
-        patterns.append((times, use))
-        n += times
-        for s, k in use.items():
-            left[s] -= times * k
-        sizes = [s for s in sizes if left[s]]
-    return patterns, n
+    done: list[tuple[int, dict[int, int]]] = []
+    rooms: list[tuple[int, int]] = []  # (room, group), in order
+    groups: list[tuple[int, dict[int, int]]] = []
+
+    def put(times: int, use: dict[int, int], room: int, least: int) -> None:
+        if room < least:
+            done.append((times, use))
+        else:
+            groups.append((times, use))
+            insort(rooms, (room, len(groups) - 1))
+
+    least = min(left, default=0)
+    for s in sorted(left, reverse=True):
+        c = left[s]
+        # the tightest containers first; each takes what it can before the next, as its room is the tightest from then on
+        while c and (at := bisect_left(rooms, (s, -1))) < len(rooms):
+            room, g = rooms.pop(at)
+            times, use = groups[g]
+            k = room // s
+            full, rest = min(times, c // k), 0
+            if full:
+                put(full, {**use, s: k}, room - k * s, least)
+            if full < times and (rest := min(c - full * k, k)):
+                put(1, {**use, s: rest}, room - rest * s, least)
+            if times > full + bool(rest):
+                put(times - full - bool(rest), use, room, least)
+            c -= full * k + rest
+        k = capacity // s
+        if c >= k:
+            put(c // k, {s: k}, capacity - k * s, least)
+        if c % k:
+            put(1, {s: c % k}, capacity - c % k * s, least)
+    patterns = done + [groups[g] for _, g in rooms]
+    return patterns, sum(times for times, _ in patterns)
 
 
 def _slots(patterns: list[tuple[int, dict[int, int]]]) -> tuple[np.ndarray, ...]:
