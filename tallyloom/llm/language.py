@@ -1,15 +1,16 @@
 """Language of each document and of each segment of a mixed document, told apart in two steps.
 
 Step one is a linear machine between language families, step two one-versus-one linear support vector machines between the
-languages of the family; the winner of most duels is the language. Features are hashed character n-grams with word
-boundaries. A document is cut into sentences, every sentence gets the margins of all machines, and short or doubtful
+languages of the family it has chosen; no others are asked. A language of the family scores its worst duel. Features are
+hashed character n-grams with word boundaries. A document is cut into sentences, every sentence gets the margins of all machines, and short or doubtful
 sentences take the language of their surroundings by a shortest path with a price for every change. The machines are
-trained here, on a bounded sample of documents that carry a valid label, in two rounds: sentences that the first machine
+trained here, on a bounded sample of sentences of documents that carry a valid label, in two rounds: sentences that the first machine
 assigns to another language than their label (mixed documents, wrong labels) are left out of the second.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 from itertools import combinations
@@ -24,8 +25,8 @@ from tallyloom.runtime import spread
 
 # fixed values: the languages by family
 FAMILIES = {"germanic": ["de", "en", "nl"], "romance": ["es", "fr", "it", "pt"]}
-#: Bounds of the training sample: documents per language, and distinct sentences per language.
-TRAIN_DOCS, TRAIN_SENTENCES = 400, 800
+#: Bounds of the training sample: documents per language, sentences per document and distinct sentences per language.
+TRAIN_DOCS, TRAIN_PER_DOC, TRAIN_SENTENCES = 400, 20, 800
 BITS = 15
 NGRAMS = (1, 2, 3, 4, 5)
 
@@ -121,53 +122,87 @@ class Machines:
                 continue
             pick = own[row]
             r, c, v = row[pick], col[pick], val[pick]
+            # sums by sentence run over the entries as they lie, sums by feature over a copy in order of the features
+            at = np.r_[0, np.flatnonzero(np.diff(r)) + 1]
+            by = np.argsort(c, kind="stable")
+            rc, vc, to = r[by], v[by], np.r_[0, np.flatnonzero(np.diff(c[by])) + 1]
+            rows, cols, y = r[at], c[by][to], y.astype(np.float32)
+            score, gw = np.zeros(len(lab), np.float32), np.zeros(dim, np.float32)
             w, vw, b0, vb, rate, best = np.zeros(dim, np.float32), np.zeros(dim, np.float32), 0.0, 0.0, 4.0, np.inf
             for _ in range(steps):
                 lw, lb = w + np.float32(0.9) * vw, b0 + 0.9 * vb
-                gap = np.maximum(0, 1 - y * (np.bincount(r, lw[c] * v, len(lab)) + lb))
+                score[rows] = np.add.reduceat(lw[c] * v, at)
+                gap = np.maximum(0, 1 - y * (score + lb))
                 loss = float((gap * gap * share).sum())
                 if loss > 1.5 * best:
                     rate, vw, vb, best = rate / 2, vw * 0, 0.0, np.inf
                     continue
                 best = min(best, loss)
-                slack = gap * share * -y
-                gw = np.bincount(c, slack[r] * v, dim) + reg * lw
-                vw, vb = (0.9 * vw - rate * gw).astype(np.float32), 0.9 * vb - 0.2 * rate * slack.sum()
+                slack = (gap * share * -y).astype(np.float32)
+                gw[cols] = np.add.reduceat(slack[rc] * vc, to)
+                vw, vb = (0.9 * vw - rate * (gw + reg * lw)).astype(np.float32), 0.9 * vb - 0.2 * rate * slack.sum()
                 w, b0 = w + vw, b0 + vb
             self.w[:, j], self.b[j] = w, b0
 
     def margins(self, texts: list[str]) -> np.ndarray:
-        """Score of every language for every text: its worst duel, within the family, after the family's margin."""
+        """Score of every language for every text.
+
+        The family machines come first: a family's margin is its worst duel. Only the languages of the family with the
+        greatest margin meet in duels of their own; each scores the least of its duels and the family's margin. The
+        languages of other families score their family's margin, which is negative.
+        """
         row, col, val = features(texts)
-        s = np.zeros((len(texts), len(self.duels)))
+        val = val.astype(np.float32)
+        n, nf = len(texts), self.n_family
         starts = np.r_[0, np.flatnonzero(np.diff(row)) + 1]
-        s[row[starts]] = np.add.reduceat(self.w[col] * val[:, None].astype(np.float32), starts, axis=0)
-        s += self.b
-        worst = np.full((len(texts), len(self.langs)), 4.0)
-        for j, (a, b) in enumerate(self.duels):
-            for k, x in enumerate(self.langs):
-                if x in a:
-                    worst[:, k] = np.minimum(worst[:, k], s[:, j])
-                elif x in b:
-                    worst[:, k] = np.minimum(worst[:, k], -s[:, j])
-        return worst
+        out = np.full((n, len(self.langs)), 4.0)
+        s = np.zeros((n, nf))
+        s[row[starts]] = np.add.reduceat(self.w[col, :nf] * val[:, None], starts, axis=0)
+        self._meet(out, np.arange(n), s + self.b[:nf], range(nf))
+        chosen = np.array([self.names.index(self.family_of[x]) for x in self.langs])[out.argmax(axis=1)]
+        for f, name in enumerate(self.names):
+            own = [j for j in range(nf, len(self.duels)) if self.family_of[self.duels[j][0][0]] == name]
+            pick = chosen[row] == f
+            if not own or not pick.any():
+                continue
+            r, c, v = row[pick], col[pick], val[pick]
+            at = np.r_[0, np.flatnonzero(np.diff(r)) + 1]
+            self._meet(out, r[at], np.add.reduceat(self.w[:, own][c] * v[:, None], at, axis=0) + self.b[own], own)
+        return out
+
+    def _meet(self, out: np.ndarray, rows: np.ndarray, score: np.ndarray, duels) -> None:
+        """Lower the scores of the languages on both sides of every duel to the duel's margin."""
+        for i, j in enumerate(duels):
+            for side, sign in zip(self.duels[j], (1, -1)):
+                for x in side:
+                    k = self.langs.index(x)
+                    out[rows, k] = np.minimum(out[rows, k], sign * score[:, i])
 
 
-def train(docs: DataFrame, key: str, text: str, lang: str, families: dict[str, list[str]] = FAMILIES, per_language: int = TRAIN_DOCS) -> Machines:
-    """Machines from at most ``per_language`` labelled documents of each language (in order of a hash of the key)."""
+def train(docs: DataFrame, key: str, text: str, lang: str, families: dict[str, list[str]] = FAMILIES, per_language: int = TRAIN_DOCS, per_document: int = TRAIN_PER_DOC) -> Machines:
+    """Machines from at most ``per_language`` labelled documents of each language (in order of a hash of the key).
+
+    Of each, at most ``per_document`` sentences are taken, wherever they stand in the text (in order of a hash). The texts
+    are cut where they lie; only these sentences come to the driver.
+    """
     langs = [x for ls in families.values() for x in ls]
-    pool = docs.where(F.col(lang).isin(langs) & (F.length(text) > 60)).select(F.col(lang).alias("l"), F.substring(text, 1, 3000).alias("t"), F.xxhash64(F.col(key), F.lit(7)).alias("h"))
-    top = pool.groupBy("l").agg(F.min_by(F.struct("h", "t"), "h").alias("one"), F.count("*").alias("n"))
+    pool = docs.where(F.col(lang).isin(langs) & F.col(text).isNotNull()).select(F.col(lang).alias("l"), F.col(text).alias("t"), F.xxhash64(F.col(key), F.lit(7)).alias("h"))
     # keep about twice the bound by a hash threshold, then the bound: no sort of the whole table
-    share = top.select("l", F.least(F.lit(1.0), F.lit(2.0 * per_language) / F.col("n")).alias("p"))
+    share = pool.groupBy("l").agg(F.count("*").alias("n")).select("l", F.least(F.lit(1.0), F.lit(2.0 * per_language) / F.col("n")).alias("p"))
     kept = pool.join(F.broadcast(share), "l").where(F.pmod("h", F.lit(1_000_003)) < F.col("p") * 1_000_003)
-    rows = kept.orderBy("l", "h").limit(2 * per_language * len(langs) * 2).collect()
+
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            some = [sorted(set(sentences(t)), key=lambda s: (zlib.crc32(s.encode("utf-8", "surrogatepass")), s))[:per_document] for t in b["t"]]
+            yield pd.DataFrame({"l": b["l"], "h": b["h"], "s": some})
+
+    rows = kept.mapInPandas(cut, "l string, h bigint, s array<string>").where(F.size("s") > 0).orderBy("l", "h").limit(2 * per_language * len(langs) * 2).collect()
     # distinct sentences, each with the label that most documents with it carry
     docs_of, votes, form = dict.fromkeys(langs, 0), {}, {}
     for r in rows:
         if docs_of[r["l"]] < per_language:
             docs_of[r["l"]] += 1
-            for s in set(sentences(r["t"])[:20]):
+            for s in r["s"]:
                 t = tidied(s)
                 form.setdefault(t, s)
                 votes.setdefault(t, Counter())[r["l"]] += 1
@@ -218,13 +253,14 @@ def segment(margins: np.ndarray, letters: np.ndarray, change: float = CHANGE) ->
     return path
 
 
-def detect(df: DataFrame, key: str, text: str, machines: Machines) -> DataFrame:
+def detect(df: DataFrame, key: str, text: str, machines: Machines, label: str | None = None) -> DataFrame:
     """``(key, n_segments, seg_no, lang, confidence, n_chars, doc_lang, doc_confidence)``: one row per segment of every text with words.
 
     Segments are maximal runs of sentences in one language, numbered from 1. ``confidence`` is a logistic value of the
     margin to the next best language, weighted by letters. ``doc_lang`` is the language with most letters (of equals the
     first in the order of the families). Null, empty and blank texts and texts without letters give no row; repeated rows
-    are handled one by one; whole texts are read, however long; extra columns are not read.
+    are handled one by one; whole texts are read, however long; extra columns are not read, but for ``label``, which each
+    segment gets as ``label``.
     """
     kind = df.schema[key].dataType.simpleString()
     shared = df.sparkSession.sparkContext.broadcast(machines)
@@ -248,7 +284,7 @@ def detect(df: DataFrame, key: str, text: str, machines: Machines) -> DataFrame:
                     known.clear()
                 letters = np.array([sum(map(len, regex.findall(r"\p{L}+", s))) for s in flat], float)
                 out, at = [], 0
-                for k, c in zip(b["k"], cut):
+                for k, tag, c in zip(b["k"], b["label"], cut):
                     if not c:
                         continue
                     mg, le = margins[at : at + len(c)], letters[at : at + len(c)]
@@ -265,18 +301,21 @@ def detect(df: DataFrame, key: str, text: str, machines: Machines) -> DataFrame:
                         segs.append((m.langs[x], 1 / (1 + np.exp(-2.5 * gap)), sum(map(len, c[a:e])), le[a:e].sum()))
                     own = [(s[1], s[3]) for s in segs if s[0] == m.langs[top]]
                     conf = sum(a * b for a, b in own) / sum(b for _, b in own) * total[top] / total.sum()
-                    out += [(k, len(segs), i + 1, s[0], s[1], s[2], m.langs[top], conf) for i, s in enumerate(segs)]
+                    out += [(k, len(segs), i + 1, s[0], s[1], s[2], m.langs[top], conf, tag) for i, s in enumerate(segs)]
                 if out:
-                    yield pd.DataFrame(out, columns=["k", "n_segments", "seg_no", "lang", "confidence", "n_chars", "doc_lang", "doc_confidence"])
+                    yield pd.DataFrame(out, columns=["k", "n_segments", "seg_no", "lang", "confidence", "n_chars", "doc_lang", "doc_confidence", "label"])
 
-    slim = spread(df.where(F.col(key).isNotNull() & F.col(text).isNotNull()).select(F.col(key).alias("k"), F.col(text).alias("t")))
-    schema = f"k {kind}, n_segments bigint, seg_no bigint, lang string, confidence double, n_chars bigint, doc_lang string, doc_confidence double"
-    return slim.mapInPandas(run, schema).withColumnRenamed("k", key)
+    tag = F.col(label).cast("string") if label else F.lit(None).cast("string")
+    slim = spread(df.where(F.col(key).isNotNull() & F.col(text).isNotNull()).select(F.col(key).alias("k"), F.col(text).alias("t"), tag.alias("label")))
+    schema = f"k {kind}, n_segments bigint, seg_no bigint, lang string, confidence double, n_chars bigint, doc_lang string, doc_confidence double, label string"
+    out = slim.mapInPandas(run, schema)
+    return (out if label else out.drop("label")).withColumnRenamed("k", key)
 
 
 def wrong_or_mixed(df: DataFrame, key: str, text: str, lang: str, machines: Machines) -> DataFrame:
-    """Segments ``(key, seg_no, lang)`` of documents in several languages, and of documents whose label is not exactly their code."""
-    found = detect(df, key, text, machines)
-    label = df.select(F.col(key).alias("__k"), F.col(lang).alias("__label"))
-    both = found.join(label, found[key] == label["__k"])
-    return both.where((F.col("n_segments") > 1) | ~F.col("lang").eqNullSafe(F.col("__label"))).select(key, "seg_no", "lang")
+    """Segments ``(key, seg_no, lang)`` of documents in several languages, and of documents whose label is not exactly their code.
+
+    One narrow stage: the label goes along with the text. Rows that repeat a key are told one by one.
+    """
+    found = detect(df, key, text, machines, lang)
+    return found.where((F.col("n_segments") > 1) | ~F.col("lang").eqNullSafe(F.col("label"))).select(key, "seg_no", "lang")

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallyloom.functions.labels import FIELDS
 from tallyloom.llm import subjects
 from tallyloom.llm.consensus import collapse_ratings, fit_consensus, krippendorff
 from tallyloom.llm.encode import encode_corpus
@@ -85,8 +86,7 @@ def p8_fill(spark, d):
 
 # --- problem 5: consensus of annotators -----------------------------------------------------------
 
-# fixed values: the ten fields of seeds.domain, and spellings of yes and no
-FIELDS = ["disability", "family/children", "housing", "labour market", "none", "retirement", "sickness/health/care", "survivors", "taxes", "unemployment"]
+# fixed values: spellings of yes and no
 YES = ["1", "1.0", "true", "yes", "y", "t", "ja", "wahr", "oui", "sí", "si", "sì", "sim", "vrai"]
 NO = ["0", "0.0", "false", "no", "n", "f", "nein", "falsch", "non", "nee", "não", "faux"]
 
@@ -112,13 +112,12 @@ _CLASSES = {"social_policy_field_1": FIELDS, "crisis_ref": ["0", "1"]}
 
 @query("p5_found")
 def p5_found(spark, d):
-    items, _ = fit_consensus(ratings(spark, d), _CLASSES)
-    return items.where("n_coders >= 2").select(F.col("item").alias("id"), "variable", "label")
+    return fit_consensus(ratings(spark, d), _CLASSES).items.where("n_coders >= 2").select(F.col("item").alias("id"), "variable", "label")
 
 
 @query("p5_reliability")
 def p5_reliability(spark, d):
-    return fit_consensus(ratings(spark, d), _CLASSES)[1]
+    return fit_consensus(ratings(spark, d), _CLASSES).coders
 
 
 _YES_SQL = ", ".join(f"'{x}'" for x in YES)

@@ -171,20 +171,44 @@ def test_consensus_finds_truth_and_liars(spark):
     truth, data = made_ratings(spark)
     odd = [("v", "x", "good", "zzz"), ("v", None, "good", "a"), ("v", "y", None, "a"), ("v", "z", "good", None), ("w", "q", "good", "a")]
     df = spark.createDataFrame(data + odd, "variable string, item string, coder string, label string").withColumn("n", F.lit("clash"))
-    items, coders = consensus.fit_consensus(df, {"v": ["a", "b", "c"]}, rounds=10)
+    items, coders, n_rounds, change = consensus.fit_consensus(df, {"v": ["a", "b", "c"]})
+    assert n_rounds < 500 and change < 1e-3
     got = {r["item"]: r for r in items.collect()}
     right = sum(got[str(i)]["label"] == t for i, t in truth.items() if str(i) in got)
     assert right / len(truth) > 0.9 and "x" not in got and "q" not in got
     rel = {r["coder"]: r for r in coders.collect()}
     assert rel["good"]["reliability"] > rel["fair"]["reliability"] > rel["poor"]["reliability"] > rel["liar"]["reliability"]
     assert all(r["low"] < r["reliability"] < r["high"] for r in rel.values())
-    empty_items, empty_coders = consensus.fit_consensus(df.limit(0), {"v": ["a", "b"]}, rounds=2)
+    empty_items, empty_coders, *_ = consensus.fit_consensus(df.limit(0), {"v": ["a", "b"]}, rounds=2)
     assert empty_items.count() == 0 and empty_coders.count() == 0
 
 
-def test_digamma(spark):
-    got = spark.createDataFrame([(1.0,), (0.5,), (10.0,)], "x double").select(consensus.digamma(F.col("x"))).collect()
-    assert np.allclose([r[0] for r in got], [-0.5772156649, -1.9635100260, 2.2517525890], atol=1e-8)
+def test_consensus_of_many_coders_stays_distributed(spark):
+    """Beyond the bound of the broadcast the fit is the same."""
+    _, data = made_ratings(spark, 60)
+    df = spark.createDataFrame(data, "variable string, item string, coder string, label string")
+    a, b = (consensus.fit_consensus(df, {"v": ["a", "b", "c"]}, rounds=3, broadcast_rows=n) for n in (10_000, 0))
+    for x, y, keys in ((a.items, b.items, ["item"]), (a.coders, b.coders, ["coder"])):
+        x, y = (z.orderBy(*keys).toPandas() for z in (x, y))
+        assert all(np.allclose(x[c], y[c]) if x[c].dtype == float else (x[c] == y[c]).all() for c in x.columns)
+    assert a.rounds == b.rounds and a.change == pytest.approx(b.change)
+
+
+def test_reliability_is_weighted_by_class(spark):
+    """A coder who always says the frequent class is right as often as that class comes up, not more."""
+    data = [("v", str(i), c, "a" if i % 10 or c == "lazy" else "b") for i in range(400) for c in ("one", "two", "lazy")]
+    got = {r["coder"]: r for r in consensus.fit_consensus(spark.createDataFrame(data, "variable string, item string, coder string, label string"), {"v": ["a", "b"]}).coders.collect()}
+    assert got["lazy"]["reliability"] == pytest.approx(0.9, abs=0.02) and got["one"]["reliability"] > 0.97
+
+
+def test_beta_interval():
+    # quantiles of beta(2, 3) and of beta(0.5, 0.5), known in closed form
+    assert np.allclose(consensus.beta_interval(0.4, 0.04), (0.0676, 0.8059), atol=2e-4)
+    assert np.allclose(consensus.beta_interval(0.5, 0.125), (np.sin(np.pi * 0.0125) ** 2, np.sin(np.pi * 0.4875) ** 2), atol=1e-4)
+
+
+def test_digamma():
+    assert np.allclose(consensus.digamma(np.array([1.0, 0.5, 10.0])), [-0.5772156649, -1.9635100260, 2.2517525890], atol=1e-8)
 
 
 def test_krippendorff_against_pairs(spark):
@@ -226,11 +250,25 @@ def test_languages(spark, machines):
     assert [r for r in got if r[0] == 4] == [(4, 1, "de"), (4, 2, "fr"), (4, 3, "en")]
     assert (3, 1, "en") in got and (9, 1, "de") in got and (2, 1, "de") in got
     assert not any(r[0] in (1, 5, 6, 7, 8, 10, None) for r in got)
+    # repeated keys are told one by one, each by its own label
+    assert got.count((2, 1, "de")) == 2
+    twice = spark.createDataFrame([(1, f"{de} {de} {fr}", "de"), (1, f"{de} {de} {fr}", "fr"), (1, de, "de"), (1, de, None)], df.select("doc_id", "text", "lang").schema)
+    again = rows(language.wrong_or_mixed(twice, "doc_id", "text", "lang", machines))
+    assert sorted(again) == [(1, 1, "de")] * 3 + [(1, 2, "fr")] * 2
     conf = language.detect(df, "doc_id", "text", machines).select("confidence", "doc_confidence").collect()
     assert all(0 <= r[0] <= 1 and 0 <= r[1] <= 1 for r in conf)
     assert language.detect(df.limit(0), "doc_id", "text", machines).count() == 0
 
 
+def test_only_the_chosen_family_is_asked(machines):
+    """A language of another family scores its family's margin, which is negative; the best one is of the family chosen."""
+    de, pt = machines.margins(["Die Behörde entscheidet über den Antrag.", "A autoridade decide sobre o pedido do segurado."])
+    at = machines.langs.index
+    assert machines.family_of[machines.langs[de.argmax()]] == "germanic" and machines.family_of[machines.langs[pt.argmax()]] == "romance"
+    assert len({round(de[at(x)], 9) for x in ("es", "fr", "it", "pt")}) == 1 and de[at("fr")] < 0
+    assert len({round(pt[at(x)], 9) for x in ("de", "en", "nl")}) == 1 and pt[at("de")] < 0
+
+
 def test_held_out_accuracy(spark, machines):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").where("length(text) > 80 AND lang IN ('de', 'en', 'fr', 'es', 'it', 'nl', 'pt')")
     found = language.detect(docs, "doc_id", "text", machines).where("n_segments = 1").join(docs.select("doc_id", F.col("lang").alias("label")), "doc_id")
