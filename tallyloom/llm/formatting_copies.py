@@ -1,10 +1,10 @@
 """Duplicates hidden by formatting differences, found by progressive partition refinement.
 
-Level 0 groups all records by invariants that cost one pass over the characters and no sorting: the number of empty
-fields, the stripped length and the letter histogram of the three values together. None of them depends on which column
-holds which value. Only classes with several members go on. Level 1 adds a 64-bit key of the ordered values, level 2 the
-ordered values themselves, so the result is exact. Counts are pre-aggregated on the map side and rows meet their group by
-a salted join, so one group may hold any share of the rows.
+The bare values are made once and written to the checkpoint. Level 0 groups by what costs nothing more: the number of empty
+fields and the stripped length of the values together. Level 1 splits the classes with several members by a letter
+histogram. Neither depends on which column holds which value. Level 2 compares the ordered values themselves inside what is
+left, so the result is exact. Counts are pre-aggregated on the map side and rows meet their group by a salted join (level 0
+by a broadcast, where its classes are few), so one group may hold any share of the rows.
 """
 
 from __future__ import annotations
@@ -12,12 +12,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyloom.runtime import salted_join
+from tallyloom.runtime import cut_lineage, salted_join
 
 #: Ways to cite a doi, removed where what follows looks like one.
 CITED = r"^[\s\p{Z}\p{C}]*(?:(?:https?://)?(?:dx\.)?doi\.[a-z]+/|doi[\s\p{Z}]*:?[\s\p{Z}]*|info:doi/)(?=10\.[0-9])"
 IGNORED = r"[^\p{L}\p{N}\p{M}]+"
-LETTERS = "etaoinsrhldcu"
+LETTERS = "etaoinsrhl012"
+#: Classes of level 0 up to which their table is broadcast (a class is under 50 bytes); beyond, a salted join.
+BROADCAST_CLASSES = 500_000
 
 
 def bare(c: Column) -> Column:
@@ -25,12 +27,9 @@ def bare(c: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(F.lower(c.cast("string")), CITED, ""), IGNORED, "")
 
 
-def _invariant(fields: list[Column]) -> Column:
-    joined = F.concat_ws("", *fields)
-    n_null = sum((F.isnull(c).cast("int") for c in fields), F.lit(0))
-    histogram = [F.length(joined) - F.length(F.translate(joined, ch, "")) for ch in LETTERS]
-    digits = [F.length(joined) - F.length(F.translate(joined, ds, "")) for ds in ("0", "1", "2", "3456789")]
-    return F.xxhash64(n_null, F.length(joined), *histogram, *digits)
+def _histogram(joined: Column) -> Column:
+    """64 bits of how often each of some letters and digits occurs."""
+    return F.xxhash64(*[F.octet_length(joined) - F.octet_length(F.replace(joined, F.lit(ch), F.lit(""))) for ch in LETTERS])
 
 
 def copy_groups(df: DataFrame, ord_col: str, columns: list[str], identifying: list[str]) -> DataFrame:
@@ -47,18 +46,24 @@ def copy_groups(df: DataFrame, ord_col: str, columns: list[str], identifying: li
     for c, v in zip(columns, vals):
         if c in identifying:
             some = some | (F.coalesce(F.length(v), F.lit(0)) > 0)
-    base = base.where(some).withColumn("k0", _invariant([F.col(v) for v in vals]))
-    total = df.count()
-
-    c0 = base.groupBy("k0").agg(F.count("*").alias("n0")).where("n0 > 1")
-    level1 = salted_join(base, c0, ["k0"], "n0", "ord", total)
-    # the costlier key: the values in an order that does not depend on the columns (null marked apart from empty)
+    # the values in an order that does not depend on the columns, null marked apart from empty
     marked = F.array_sort(F.array(*[F.coalesce(F.concat(F.lit("+"), F.col(v)), F.lit("-")) for v in vals]))
-    level1 = level1.withColumn("key", F.array_join(marked, "\x1f")).withColumn("k1", F.xxhash64("k0", "key")).select("ord", "k1", "key")
+    n_null = sum((F.isnull(v).cast("int") for v in vals), F.lit(0))
+    length = sum((F.coalesce(F.length(v), F.lit(0)) for v in vals), F.lit(0))
+    base = cut_lineage(base.where(some).select("ord", n_null.alias("nulls"), length.alias("len"), F.array_join(marked, "\x1f").alias("key")))
+    per0 = base.groupBy("nulls", "len").agg(F.count("*").alias("n0"))
+    c0 = per0.where("n0 > 1").persist()
+    n_classes, total = c0.agg(F.count("*"), F.coalesce(F.sum("n0"), F.lit(0))).collect()[0]
+    if n_classes <= BROADCAST_CLASSES:
+        level1 = base.join(F.broadcast(c0), ["nulls", "len"])
+    else:
+        level1 = salted_join(base, c0, ["nulls", "len"], "n0", "ord", total)
+    level1 = level1.select("ord", F.xxhash64("nulls", "len", _histogram(F.col("key"))).alias("k1"), "key")
     c1 = level1.groupBy("k1").agg(F.count("*").alias("n1")).where("n1 > 1")
-    level2 = salted_join(level1, c1, ["k1"], "n1", "ord", total)
+    level2 = cut_lineage(salted_join(level1, c1, ["k1"], "n1", "ord", total).select("ord", "k1", "key"))
+    c0.unpersist()
     groups = level2.groupBy("k1", "key").agg(F.min("ord").alias("first_ord"), F.count("*").alias("n_records")).where("n_records > 1")
-    return salted_join(level2.select("ord", "k1", "key"), groups, ["k1", "key"], "n_records", "ord", total).select("first_ord", "ord", "n_records")
+    return salted_join(level2, groups, ["k1", "key"], "n_records", "ord", total).select("first_ord", "ord", "n_records")
 
 
 def find_copies(df: DataFrame, ord_col: str, columns: list[str], identifying: list[str]) -> DataFrame:
