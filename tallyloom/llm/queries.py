@@ -173,28 +173,24 @@ def p9_segments(spark, d):
 
 def _subjects(spark, d):
     policies = table(spark, d, "final_policy_set")
-    factors, sent = subjects.fit(policies, table(spark, d, "seeds"), table(spark, d, "policy_fields"), "id", "title", "full_text")
-    return policies, factors, sent
+    return subjects.fit(policies, table(spark, d, "seeds"), table(spark, d, "policy_fields"), "id", "title", "full_text")
 
 
 @query("p3_found")
 def p3_found(spark, d):
-    policies, factors, sent = _subjects(spark, d)
-    return subjects.assign(factors, sent, policies, "none", "id", "full_text")
+    return subjects.assign(*_subjects(spark, d), "none", "id")
 
 
 @query("p3_mixture")
 def p3_mixture(spark, d):
     """The subject mixture of every policy: rows of W."""
-    _, factors, sent = _subjects(spark, d)
-    return subjects.mixtures(factors, sent).select(F.col("k").alias("id"), "subject", F.round("weight", 4).alias("weight"))
+    return subjects.mixtures(*_subjects(spark, d)).select(F.col("k").alias("id"), "subject", F.round("weight", 4).alias("weight"))
 
 
 @query("p3_composition")
 def p3_composition(spark, d):
     """How much of the corpus each subject has: policies and their share."""
-    policies, factors, sent = _subjects(spark, d)
-    found = subjects.assign(factors, sent, policies, "none", "id", "full_text")
+    found = subjects.assign(*_subjects(spark, d), "none", "id")
     per = found.groupBy("subject").agg(F.count("*").alias("n_policies"))
     total = found.agg(F.count_distinct("id").alias("n"))
     return per.join(F.broadcast(total)).select("subject", "n_policies", F.round(F.col("n_policies") / F.col("n"), 6).alias("share"))
