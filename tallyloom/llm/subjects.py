@@ -246,6 +246,8 @@ def mixtures(factors: Factors, coded: DataFrame) -> DataFrame:
             term, doc, _ = _flat(b)
             w, has = _mixture(m, term, doc, len(b))
             keys = b["k"].to_numpy()[has]
+            if not len(keys):
+                continue
             yield pd.DataFrame({"k": np.repeat(keys, len(m.subjects)), "subject": np.tile(m.subjects, len(keys)), "weight": w[has].ravel()})
 
     return coded.mapInPandas(run, f"k {coded.schema['k'].dataType.simpleString()}, subject string, weight double").where("weight > 0.005")
