@@ -2,16 +2,20 @@
 
 Every response is cut into clauses; a linear-chain conditional random field tags each as answer, refusal, echo, foreign or
 unfinished. Its features compare the clause with the question and the text given in the prompt, count function words by
-language, look for first-person refusals and for value shapes, and ask whether a clause without a final mark ends like
-clauses that do have one (a table of clause frames counted over the whole corpus). There are no labelled pairs, so the
-field is trained on a bounded sample of the corpus with known damage: responses cut at random places, questions and given
-texts put in place of responses, refusals, and texts in other languages. A pair's defect follows from the words that its
-tags cover.
+language, look for value shapes, weigh the clause's words and word pairs by how much they are those of refusals, and ask
+whether a clause without a final mark ends like clauses that do have one (a table of clause frames counted over the whole
+corpus). There are no labelled pairs. The wording of refusals is learned from the corpus: where a date or a yes or no is
+asked for, a whole sentence without a value that repeats neither question nor text declines to answer; made-up
+refusals join these. The field is trained on a bounded sample with known damage: responses cut at random places, questions
+and given texts put in place of responses, refusals, and texts in other languages. A pair's defect follows from the words
+that its tags cover.
 """
 
 from __future__ import annotations
 
+import math
 import random
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,6 +29,8 @@ from tallyloom.runtime import cut_lineage, spread
 TAGS = ["answer", "refusal", "echo", "foreign", "unfinished"]
 #: Bound of the training sample, in pairs.
 TRAIN_PAIRS = 3000
+#: Bound of the sentences that decline to answer, for training.
+TRAIN_DECLINED = 2000
 #: Clauses of a training response at most; responses to be judged may have any number.
 LONGEST = 12
 #: Clause frames up to which their table is broadcast (a frame is under 100 bytes).
@@ -60,12 +66,6 @@ _VISIBLE = regex.compile(r"[\p{L}\p{N}]")
 _WRAP = regex.compile(r"^[\s\p{Z}\p{C}\"'„“”«»*`_#>\-•]+|[\s\p{Z}\p{C}\"'„“”«»*`_]+$")
 _DONE = regex.compile(r"(?<!\.\.)(?<!…)[.!?]$")
 _BROKEN_OFF = regex.compile(r"(?:…|\.\.|[,;:(–-])[\s\"'”“]*$")
-_REFUSAL = regex.compile(
-    r"(?i)\b(?:i|we)(?:'m| am| are)? (?:\w+ )?(?:cannot|can't|can not|must decline|have to decline|decline|won't|will not|am unable|are unable|unable|not able|am not able|not in a position|refuse|do not feel)\b"
-    r"|\bi'?m (?:sorry|afraid|unable|not able)\b|\bas an? (?:ai|artificial|language|large)\b|\bmy (?:guidelines|policies|programming|instructions)\b"
-    r"|\b(?:it )?would not be appropriate for me\b|\bthis request (?:goes|conflicts|is|violates|cannot)\b|\bwhat i am allowed to do\b"
-    r"|\bje (?:ne peux|suis désolé|regrette|ne suis pas en mesure)|\b(?:leider|ich) (?:kann|darf|bin) (?:ich )?(?:\w+ ){0,3}nicht\b|\bleider kann ich\b|\bno puedo\b|\blo siento\b|\bnon posso\b|\bmi dispiace\b|\bik kan (?:\w+ ){0,3}niet\b|\bnão posso\b|\bpodo\b|\bdesculpe\b"
-)
 _DATE = regex.compile(
     r"(?i)^(?:effective (?:from|as of) |as of |from |since |on )?(?:\p{N}{4}[-/.]\p{N}{1,2}(?:[-/.]\p{N}{1,2})?(?:t[\p{N}:.z]+)?|\p{N}{1,2}[-/.]\p{N}{4}|\p{N}{1,2}[-/.]\p{N}{1,2}[-/.]\p{N}{4}"
     r"|(?:\p{N}{1,2}(?:st|nd|rd|th)? )?(?:" + "|".join(MONTHS_EN) + r"|" + "|".join(m[:3] for m in MONTHS_EN) + r")\.?,? (?:\p{N}{1,2}(?:st|nd|rd|th)?,? )?\p{N}{4})\.?$"
@@ -108,10 +108,57 @@ def _copied(w: list[str], source: set) -> float:
     return sum(r in source for r in runs) / len(runs) if runs else 0.0
 
 
-N_FEATURES = 21
+class Wording:
+    """How much a clause is worded like a refusal: a logistic regression over its words and word pairs."""
+
+    def __init__(self, refusals: list[str], others: list[str], steps: int = 300, reg: float = 1e-5):
+        seen = Counter(refusals), Counter(others)
+        y = np.r_[np.ones(len(seen[0])), np.zeros(len(seen[1]))]
+        weight = np.sqrt([*seen[0].values(), *seen[1].values()], dtype=float)
+        for k in (0, 1):
+            weight[y == k] /= max(2 * weight[y == k].sum(), 1e-9)  # both sides alike
+        grams = [self.grams(c) for c in (*seen[0], *seen[1])]
+        self.index: dict[str, int] = {}
+        col = np.array([self.index.setdefault(g, len(self.index)) for q in grams for g in q], np.int64)
+        row = np.repeat(np.arange(len(grams)), [len(q) for q in grams])
+        val = 1 / np.sqrt(np.bincount(row, minlength=len(grams)))[row]
+        self.w, self.b = np.zeros(len(self.index)), 0.0
+        m, v = np.zeros(len(self.index)), np.zeros(len(self.index))
+        for it in range(1, steps + 1):
+            score = np.bincount(row, self.w[col] * val, len(grams)) + self.b
+            miss = (y - 1 / (1 + np.exp(-score))) * weight
+            g = np.bincount(col, miss[row] * val, len(self.w)) - reg * self.w
+            m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
+            self.w += 0.1 * (m / (1 - 0.9**it)) / (np.sqrt(v / (1 - 0.99**it)) + 1e-7)
+            self.b += 0.5 * miss.sum()
+
+    @staticmethod
+    def grams(clause: str) -> list[str]:
+        w = [x for x in words(clause) if not x[0].isdigit()]
+        return list(dict.fromkeys(w + [f"{a} {b}" for a, b in zip(["^", *w], w)]))
+
+    def of(self, clause: str) -> float:
+        """Log odds; a clause without any known word has those of the offset alone."""
+        q = self.grams(clause)
+        return sum(self.w[self.index[g]] for g in q if g in self.index) / max(1, len(q)) ** 0.5 + self.b
+
+
+def valueless(parts: list[str], variable: str, question: set, given: set) -> list[str]:
+    """Whole sentences of an answer to a question for a date or a flag that hold no value or figure and repeat nothing."""
+    if variable == "summary" or any(_DATE.match(c) or _FLAG.match(c) for c in parts):
+        return []
+    out = []
+    for c in parts:
+        w = words(c)
+        if len(w) > 3 and _DONE.search(c) and not any(t[0].isdigit() for t in w) and max(_copied(w, question), _copied(w, given)) < 0.3:
+            out.append(c)
+    return out
+
+
+N_FEATURES = 22
 
 
-def featurise(parts: list[str], variable: str, question: set, given: set, frame_known: bool) -> np.ndarray:
+def featurise(parts: list[str], variable: str, question: set, given: set, frame_known: bool, wording: Wording) -> np.ndarray:
     """Features of every clause of one response."""
     x = np.zeros((len(parts), N_FEATURES))
     for i, c in enumerate(parts):
@@ -128,13 +175,14 @@ def featurise(parts: list[str], variable: str, question: set, given: set, frame_
         if len(w) <= 3 and w and w[0] in ALONE_FOREIGN:
             foreign = 1.0
         shaped = variable != "summary"
+        declines = wording.of(c)
         x[i] = [
             1.0,
             min(1.0, english * 2.5),
             min(1.0, foreign * 2.5),
             float(foreign > english and foreign >= 0.15),
             float(bool(regex.search(r"[äöüßéèêàâçñíóúáìòùãõ]", c.lower()))),
-            float(bool(_REFUSAL.search(c))),
+            float(declines > 0),
             copied_q,
             float(copied_q > 0.55),
             float(copied_g > 0.6 and len(w) > 3),
@@ -150,6 +198,7 @@ def featurise(parts: list[str], variable: str, question: set, given: set, frame_
             float(last and not first),
             float(first and last),
             float(copied_q == 1.0 and len(w) > 2),
+            min(1.0, max(-1.0, declines / 4)),
         ]
     return x
 
@@ -215,13 +264,14 @@ def _lse(a: np.ndarray, axis: int) -> np.ndarray:
     return (m + np.log(np.exp(a - m).sum(axis=axis, keepdims=True))).squeeze(axis)
 
 
-def judge(parts: list[str], tags: list[int]) -> str | None:
-    """The pair's defect from the words that each tag covers; lead-ins cover none."""
+def judge(parts: list[str], tags: list[int], x: np.ndarray) -> str | None:
+    """The pair's defect from the words that each tag covers; lead-ins cover none, and what repeats nothing is no echo."""
     cover = dict.fromkeys(TAGS, 0)
-    for c, t in zip(parts, tags):
+    for c, t, f in zip(parts, tags, x):
+        t = 0 if TAGS[t] == "echo" and not (f[6] or f[8]) else t
         cover[TAGS[t]] += 0 if _LEAD_IN.match(c) and len(parts) > 1 else max(1, len(words(c)))
     total = sum(cover.values()) or 1
-    if cover["refusal"]:
+    if cover["refusal"] / total >= 0.5:
         return "refusal"
     if cover["echo"] / total >= 0.5:
         return "echo"
@@ -233,7 +283,19 @@ def judge(parts: list[str], tags: list[int]) -> str | None:
 # made-up refusals for training: who, what, and how it goes on
 _WHO = ["I cannot", "I can't", "I'm sorry, but I can't", "I am not able to", "As an AI model, I am not able to", "As a language model, I cannot", "I must decline to", "Unfortunately, I am unable to", "I'm afraid I cannot", "We are unable to", "My guidelines prevent me from", "It would not be appropriate for me to", "This request conflicts with what I am allowed to do and I will not"]
 _WHAT = ["answer this.", "help with this request.", "provide an answer.", "process documents of this kind.", "give legal advice.", "assess the text.", "comment on this", "complete the request."]
-_REFUSED = ["Je ne peux pas répondre à cette question.", "Leider kann ich dabei nicht helfen.", "Ich kann diese Anfrage leider nicht beantworten.", "No puedo responder a esta solicitud.", "Lo siento, pero no puedo ayudar.", "Non posso rispondere a questa richiesta.", "Ik kan deze vraag helaas niet beantwoorden.", "Não posso responder a este pedido."]
+_REFUSED = [
+    f"{a} {b}"
+    for who, what in [
+        (["Je ne peux pas", "Je suis désolé, mais je ne peux pas"], ["répondre à cette question.", "vous aider.", "traiter cette demande."]),
+        (["Leider kann ich", "Ich kann leider", "Es tut mir leid, aber ich kann"], ["dabei nicht helfen.", "diese Frage nicht beantworten.", "die Anfrage nicht ausführen."]),
+        (["No puedo", "Lo siento, pero no puedo"], ["responder a esta solicitud.", "ayudar.", "tratar esta petición."]),
+        (["Non posso", "Mi dispiace, ma non posso"], ["rispondere a questa richiesta.", "aiutare.", "trattare il testo."]),
+        (["Ik kan helaas", "Helaas kan ik"], ["deze vraag niet beantwoorden.", "u niet helpen.", "dit verzoek niet uitvoeren."]),
+        (["Não posso", "Desculpe, mas não posso"], ["responder a este pedido.", "ajudar.", "tratar este texto."]),
+    ]
+    for a in who
+    for b in what
+]
 _AFTER = ["", "", "Please ask a lawyer.", "The text is too long.", "Thank you.", "Please try again later."]
 _OTHER = [
     "La loi modifie le montant des prestations pour les familles.", "Ce texte règle la durée des droits.", "Le décret fixe les taux pour les assurés.",
@@ -244,19 +306,26 @@ _OTHER = [
 ]
 
 
-def training_set(rows: list[tuple[str, str, str, str]], frames: set[str], seed: int = 5) -> tuple[list, list]:
-    """Features and tags of sound and damaged responses made from rows ``(variable, question, given, value)``."""
+def training_set(rows: list[tuple[str, str, str, str]], frames: set[str], declined: list[str] = (), seed: int = 5) -> tuple[list, list, Wording]:
+    """Features and tags of sound and damaged responses made from rows ``(variable, question, given, value)``, and the wording.
+
+    ``declined`` are sentences of the corpus that decline to answer.
+    """
     rng = random.Random(seed)
     xs, ys = [], []
+    declined = sorted(declined)
+    made = [f"{a} {b}" for a in _WHO for b in _WHAT] + _REFUSED
+    others = [c for v, q, g, x in rows for c in (clauses(x) if v == "summary" else clauses(q)[:2])] + [c for _, _, g, _ in rows for c in clauses(g)[:6]]
+    wording = Wording(declined + made, others)
 
     def add(parts, variable, question, given, tags):
         if not parts or len(parts) > LONGEST:
             return
         known = frame(parts[-1]) in frames
-        xs.append(featurise(parts, variable, _grams(words(question)), _grams(words(given)), known))
+        xs.append(featurise(parts, variable, _grams(words(question)), _grams(words(given)), known, wording))
         ys.append(np.array([TAGS.index(t) for t in tags]))
 
-    others = [g for _, _, g, _ in rows]
+    texts = [g for _, _, g, _ in rows]
     prose = [c for v, _, _, x in rows if v == "summary" for c in clauses(x)[:1] if sum(t in ENGLISH for t in words(c)) > 1]
     for variable, question, given, value in rows:
         asks = [p for p in regex.split(r"(?<=[.?!])\s+", question) if p.strip()]
@@ -272,12 +341,13 @@ def training_set(rows: list[tuple[str, str, str, str]], frames: set[str], seed:
             parts = clauses(". ".join(lines[: rng.choice([1, 2, 2, 3])]) + rng.choice([".", ""]))
             add(parts, variable, question, given, ["echo"] * len(parts))
         elif kind < 0.32:
-            text = rng.choice(_REFUSED) if rng.random() < 0.3 else f"{rng.choice(_WHO)} {rng.choice(_WHAT)}"
+            style = rng.random()
+            text = rng.choice(_REFUSED) if style < 0.2 else rng.choice(declined) if style < 0.6 and declined else f"{rng.choice(_WHO)} {rng.choice(_WHAT)}"
             text = rng.choice(["", "", "Note: "]) + text
             parts = clauses((text.lower() if rng.random() < 0.2 else text) + " " + rng.choice(_AFTER))
             add(parts, variable, question, given, ["answer" if _LEAD_IN.match(p) and len(p) < 9 else "refusal" for p in parts])
         elif kind < 0.42:
-            text = rng.choice(_OTHER) if rng.random() < 0.7 else (clauses(rng.choice(others)) or [""])[-1]
+            text = rng.choice(_OTHER) if rng.random() < 0.7 else (clauses(rng.choice(texts)) or [""])[-1]
             if variable == "legally_effective":
                 text = rng.choice(["ab ", "", "dès ", "dal 1 ", "1. "]) + rng.choice(sorted(MONTHS_FOREIGN)) + f" {rng.randint(1990, 2024)}"
             elif variable == "crisis_ref" and rng.random() < 0.8:
@@ -287,7 +357,7 @@ def training_set(rows: list[tuple[str, str, str, str]], frames: set[str], seed:
                 add(parts, variable, question, given, ["foreign"] * len(parts))
         else:
             parts = clauses(value)
-            sound = parts and not is_empty(value) and not _REFUSAL.search(value) and sum(t in FOREIGN_WORDS for t in words(value)) <= 0.2 * len(words(value))
+            sound = parts and not is_empty(value) and all(wording.of(p) < 0 for p in parts) and sum(t in FOREIGN_WORDS for t in words(value)) <= 0.2 * len(words(value))
             sound = sound and all(_copied(words(p), _grams(words(question))) < 0.4 and _copied(words(p), _grams(words(given))) < 0.4 for p in parts)
             if not sound:
                 continue
@@ -316,16 +386,20 @@ def training_set(rows: list[tuple[str, str, str, str]], frames: set[str], seed:
                 else:
                     more = [rng.choice(prose) for _ in range(rng.randint(2, 8))] if prose and rng.random() < 0.25 else []
                     add([*more, *parts], variable, question, given, ["answer"] * (len(more) + len(parts)))
-    return xs, ys
+    return xs, ys, wording
 
 
 def pair_rows(df: DataFrame, key: str, prompt: str, prompt_key: str, answers: str, error: str, asked: dict[str, list[str]], given_mark: str) -> DataFrame:
     """``(key, variable, question, given, value)``: one row per asked variable of every entry without error.
 
-    ``asked`` maps a part of the prompt key to the variables it asks for; the first match counts. A null map gives null values.
+    ``asked`` maps a part of the prompt key to the variables it asks for; the first match counts. Under a key that has none of
+    the parts, or a null one, what was asked is not known: the variables that the map holds are taken. A null map gives null
+    values.
     """
-    base = df.where(F.col(error).isNull() & F.col(key).isNotNull())
-    what = F.lit(None).cast("array<string>")
+    # spread before the variables are taken apart, so that a prompt is moved once
+    base = spread(df.where(F.col(error).isNull() & F.col(key).isNotNull()).select(*dict.fromkeys([key, prompt, prompt_key, answers])))
+    every = F.array(*[F.lit(n) for n in dict.fromkeys(n for names in asked.values() for n in names)])
+    what = F.array_intersect(every, F.coalesce(F.map_keys(answers), F.array().cast("array<string>")))
     for part, names in reversed(list(asked.items())):
         what = F.when(F.col(prompt_key).contains(part), F.array(*[F.lit(n) for n in names])).otherwise(what)
     at = F.instr(F.col(prompt), given_mark)
@@ -345,7 +419,6 @@ def pair_defects(pairs: DataFrame, key: str) -> DataFrame:
     """
     spark = pairs.sparkSession
     kind = pairs.schema["k"].dataType.simpleString()
-    pairs = spread(pairs)
 
     def collect_frames(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -355,7 +428,7 @@ def pair_defects(pairs: DataFrame, key: str) -> DataFrame:
                 yield pd.DataFrame({"frame": list(u), "n": np.array(n, np.int64)})
 
     texts = pairs.where("variable = 'summary'").select("value")
-    frames = cut_lineage(texts.mapInPandas(collect_frames, "frame string, n bigint").groupBy("frame").agg(F.sum("n").alias("n")).where("n >= 2"))
+    frames = cut_lineage(texts.mapInPandas(collect_frames, "frame string, n bigint").groupBy("frame").agg(F.sum("n").alias("n")))
 
     sample = pairs.where("value IS NOT NULL").withColumn("h", F.xxhash64("k", "variable")).orderBy("h", "k").limit(TRAIN_PAIRS).select("variable", "question", "given", "value").collect()
     rows = [(r["variable"], r["question"], r["given"], r["value"]) for r in sample]
@@ -367,10 +440,20 @@ def pair_defects(pairs: DataFrame, key: str) -> DataFrame:
             if var == "summary" and (cs := clauses(v)):
                 cuts |= {frame(cs[-1].rstrip(".!? ")), frame(cs[-1][: rng.randint(1, len(cs[-1]))])}
         wanted |= cuts
+    # sentences that decline, of all answers to questions for a date or a flag (those of up to three words hold a value)
+    def find_declined(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            out = [c for v, q, g, x in zip(b["variable"], b["question"], b["given"], b["value"]) for c in valueless(clauses(x), v, _grams(words(q)), _grams(words(g)))]
+            if out:
+                yield pd.DataFrame({"c": out})
+
+    long = pairs.where((F.col("variable") != "summary") & (F.size(F.split("value", r"\s+")) > 3))
+    declined = [r["c"] for r in long.mapInPandas(find_declined, "c string").orderBy(F.xxhash64("c"), "c").limit(TRAIN_DECLINED).collect()]
     names = spark.createDataFrame([(f,) for f in wanted] or [("",)], "frame string")
-    common = {r[0] for r in frames.join(F.broadcast(names), "frame", "left_semi").select("frame").collect()}
+    # of a frame that a training response has itself, another one is needed
+    common = {r[0] for r in frames.where("n >= 2").join(F.broadcast(names), "frame", "left_semi").select("frame").collect()}
     model = Field()
-    xs, ys = training_set(rows, common)
+    xs, ys, wording = training_set(rows, common, declined)
     if xs:
         model.fit(xs, ys)
 
@@ -385,12 +468,13 @@ def pair_defects(pairs: DataFrame, key: str) -> DataFrame:
 
     n_frames = frames.count()
     known = frames.select(F.col("frame").alias("__frame"), F.lit(True).alias("known"))
-    with_frame = pairs.withColumn("__frame", open_frame("value"))
+    # answers with a final mark have no frame and must not meet in one task
+    with_frame = pairs.withColumn("__frame", F.coalesce(open_frame("value"), F.concat(F.lit("\x00"), F.xxhash64("k").cast("string"))))
     joined = with_frame.join(F.broadcast(known) if n_frames <= BROADCAST_FRAMES else known, "__frame", "left")
-    shared = spark.sparkContext.broadcast(model)
+    shared = spark.sparkContext.broadcast((model, wording))
 
     def tag(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        m = shared.value
+        m, wording = shared.value
         grams: dict[str, set] = {}
         short: dict[tuple, str | None] = {}
         for b in batches:
@@ -408,8 +492,8 @@ def pair_defects(pairs: DataFrame, key: str) -> DataFrame:
                         if len(grams) > 2000:
                             grams.clear()
                         grams[q] = _grams(words(q))
-                    x = featurise(parts, var, grams[q], _grams(words(g)), kn is True or kn == True)  # noqa: E712
-                    d = judge(parts, m.tag(x))
+                    x = featurise(parts, var, grams[q], _grams(words(g)), kn is True or kn == True, wording)  # noqa: E712
+                    d = judge(parts, m.tag(x), x)
                     if same is not None and len(words(v)) <= 3 and kn is None:
                         if len(short) > 100_000:
                             short.clear()

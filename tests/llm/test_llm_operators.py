@@ -330,17 +330,35 @@ def test_pair_defects(spark, data):
         (-8, "legally_effective", "Which month?", "TITLE: A\nTEXT: B", "März 1999"), (-9, "summary", "Give a summary.", "TITLE: A\nTEXT: B", "Adjusts child benefits. " * 3000), (-6, "crisis_ref", "Code 1 or 0.", "TITLE: A\nTEXT: B", "0.0"),
         (-10, "summary", "Give a summary.", "TITLE: A\nTEXT: B", "The act lets the authority decline to answer late requests concerning child benefits and requires a written notice."),
     ]
+    # refusals in wordings that neither the made-up ones nor the corpus have, and one among sentences that answer
+    held_out = [
+        "I regret that I'm not in a position to give an answer here.", "Sorry, but as a language model I am unable to comment on legislation.", "I won't answer this, since I am not allowed to give legal opinions.",
+        "Je regrette, mais je ne peux pas répondre à votre question.", "Es tut mir leid, das kann ich nicht beantworten.",
+    ]
+    add += [(-20 - i, "summary", "Give a summary.", "TITLE: A\nTEXT: B", v) for i, v in enumerate(held_out)]
+    add += [(-30, "summary", "Give a summary.", "TITLE: A\nTEXT: B", "The act raises child benefits for families with three children. It changes the rates for the year 2009. I cannot help. It clarifies who may apply for the benefits.")]
     extra = spark.createDataFrame([(a, c, t, b, v) for a, b, c, t, v in add], "k bigint, question string, given string, variable string, value string")
     got = {r["entry_id"]: r["defect"] for r in pair_defects.pair_defects(pairs.unionByName(extra), "entry_id").where("entry_id < 0").collect()}
+    print({k: v for k, v in got.items() if k <= -20})
+    assert sum(got.pop(-20 - i, None) == "refusal" for i in range(len(held_out))) >= len(held_out) - 1
     assert got == {-1: "empty", -2: "echo", -3: "refusal", -4: "language", -5: "truncated", -8: "language"}
     assert pair_defects.pair_defects(pairs.limit(0), "entry_id").count() == 0
 
 
+def test_pair_rows_of_unknown_prompts(spark):
+    """Under a prompt key that names no variable the variables of the map are taken, so no entry is lost."""
+    value = "struct<value: string, coder: string, date: string>"
+    data = [(1, "ask TITLE: t", "v1_odd", {"summary": ("x", "m", "d")}, None), (2, "ask TITLE: t", None, None, None), (3, None, "single_b", None, None), (4, "q", "single_b", None, "failed"), (None, "q", "single_b", None, None)]
+    df = spark.createDataFrame(data, f"entry_id bigint, prompt string, prompt_key string, m map<string, {value}>, err string")
+    got = pair_defects.pair_rows(df, "entry_id", "prompt", "prompt_key", "m", "err", {"single_a": ["summary"], "single_b": ["flag", "summary"]}, "TITLE:")
+    assert rows(got.select("k", "variable", "question", "value")) == sorted([(1, "summary", "ask ", "x"), (3, "flag", "", None), (3, "summary", "", None)])
+
+
 def test_field_learns_its_training_set():
     rng = random.Random(1)
     rows_ = [("summary", "Give a summary. Be brief.", f"TITLE: Gesetz {i}\nTEXT: Die Beträge werden um {i} Euro erhöht.", f"The act raises the amounts by {i} euros for {rng.choice(['families', 'workers', 'pensioners'])}.") for i in range(400)]
     frames = {pair_defects.frame(c) for *_, v in rows_ for c in pair_defects.clauses(v)}
-    xs, ys = pair_defects.training_set(rows_, frames)
+    xs, ys, _ = pair_defects.training_set(rows_, frames)
     m = pair_defects.Field()
     m.fit(xs, ys)
     right = sum((np.array(m.tag(x)) == y).sum() for x, y in zip(xs, ys))
