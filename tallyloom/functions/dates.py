@@ -39,3 +39,8 @@ def without_time(c: Column) -> Column:
 def not_later(a: Column, b: Column) -> Column:
     """ISO texts compared as texts, missing ones as the empty text."""
     return F.coalesce(a, F.lit("")) <= F.coalesce(b, F.lit(""))
+
+
+def date_order(date: Column, tie: Column) -> list[Column]:
+    """Sort expressions: the text of a date, missing ones first as the empty text, then ``tie``."""
+    return [F.coalesce(date, F.lit("")).asc(), tie.asc()]

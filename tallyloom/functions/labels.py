@@ -63,16 +63,36 @@ def compliant(labels: Column, required: Column, batch: Column, classes: list[str
 
 
 def first_object(raw: Column) -> Column:
-    """The JSON object in a response, as text: from the first brace to its end, else in a fenced block, else null."""
+    """The JSON object in a response, as text: decoded from the first brace, whatever follows it, else in a fenced block, else null.
+
+    The JSON parser reads one value and leaves the rest alone, so nesting, braces in strings and braces in the tail need no
+    pattern. An array or a bare value is no object.
+    """
+    at = F.instr(raw, "{")
     fenced = F.regexp_extract(raw, r"(?s)```(?:json)?\s*(\{.*?\})\s*```", 1)
-    plain = F.regexp_extract(raw, r"(?s)(\{.*\})", 1)
-    nested = F.regexp_extract(raw, r"(?s)(\{(?:[^{}]|\{[^{}]*\})*\})", 1)
 
     def valid(c):
         v = F.try_parse_json(F.nullif(c, F.lit("")))
         return F.when(F.startswith(F.schema_of_variant(v), F.lit("OBJECT")), F.to_json(v))
 
-    return F.coalesce(valid(plain), valid(nested), valid(fenced))
+    return F.coalesce(F.when(at > 0, valid(F.substr(raw, at))), valid(fenced))
+
+
+def recode(c: Column, names: dict[str, str]) -> Column:
+    """Display label of a value; a value without one gives null."""
+    out = F.lit(None).cast("string")
+    for k, v in names.items():
+        out = F.when(c == k, F.lit(v)).otherwise(out)
+    return out
+
+
+def by_alias(labels: Column, names: list[str]) -> tuple[Column, Column]:
+    """(value, is_present) of the first of ``names`` that the map has; a value that is there and null is present."""
+    value, present = F.lit(None).cast("string"), F.lit(False)
+    for n in reversed(names):
+        value = F.when(has(labels, n), unwrap(labels, n)).otherwise(value)
+        present = has(labels, n) | present
+    return value, present
 
 
 def prompt_factors(key: Column) -> dict[str, Column]:

@@ -82,10 +82,21 @@ def top_values(df: DataFrame, items: Column, pos: str, k: int) -> DataFrame:
     return c.orderBy(F.desc("n"), "__first").limit(k).select("item", "n")
 
 
+def _lost_tokens(df: DataFrame, key: str, base: Column, other: Column, tokens) -> DataFrame:
+    """``(key, token, a, lost)``: how often each token stands in ``base``, and how much less often in ``other``; one pass."""
+    both = F.concat(F.transform(tokens(base), lambda x: F.struct(x.alias("t"), F.lit(1).alias("a"), F.lit(0).alias("b"))), F.transform(F.coalesce(tokens(other), F.array().cast("array<string>")), lambda x: F.struct(x.alias("t"), F.lit(0).alias("a"), F.lit(1).alias("b"))))
+    counts = df.select(F.col(key), F.explode(both).alias("x")).groupBy(key, F.col("x.t").alias("token")).agg(F.sum("x.a").alias("a"), F.sum("x.b").alias("b"))
+    return counts.select(key, "token", "a", F.greatest(F.col("a") - F.col("b"), F.lit(0)).alias("lost"))
+
+
 def token_loss(df: DataFrame, key: str, base: Column, other: Column, tokens) -> DataFrame:
     """``(key, n_base, n_lost, loss)``: tokens of ``base`` that ``other`` has less often, over all tokens of ``base`` (at least 1)."""
-    count = lambda c, name: df.select(F.col(key), F.explode(tokens(c)).alias("token")).groupBy(key, "token").agg(F.count("*").alias(name))
-    j = count(base, "a").join(count(other, "b"), [key, "token"], "left")
-    agg = j.groupBy(key).agg(F.sum("a").alias("n_base"), F.sum(F.greatest(F.col("a") - F.coalesce("b", F.lit(0)), F.lit(0))).alias("n_lost"))
+    agg = _lost_tokens(df, key, base, other, tokens).groupBy(key).agg(F.sum("a").alias("n_base"), F.sum("lost").alias("n_lost"))
     out = df.select(key).distinct().join(agg, key, "left").select(key, F.coalesce("n_base", F.lit(0)).alias("n_base"), F.coalesce("n_lost", F.lit(0)).alias("n_lost"))
     return out.withColumn("loss", F.col("n_lost") / F.greatest("n_base", F.lit(1)))
+
+
+def missing_words(df: DataFrame, key: str, base: Column, other: Column, tokens, k: int = 8) -> DataFrame:
+    """``(word, n)``: the ``k`` tokens of ``base`` that ``other`` lacks most often, of equals the first by text."""
+    lost = _lost_tokens(df, key, base, other, tokens).where("lost > 0").groupBy(F.col("token").alias("word")).agg(F.sum("lost").alias("n"))
+    return lost.orderBy(F.desc("n"), "word").limit(k)

@@ -26,3 +26,10 @@ def per_group_sample(df: DataFrame, group: str, key: str, k: int, seed: int, exc
     pool = df.join(exclude.select(key).distinct(), key, "left_anti") if exclude is not None else df
     w = W.partitionBy(group).orderBy(_hash(seed, group, key), key)
     return pool.withColumn("__r", F.row_number().over(w)).where(F.col("__r") <= k).drop("__r")
+
+
+def spot_check(df: DataFrame, key: str, n: int, seed: int | None = None) -> DataFrame:
+    """``n`` rows to look at; without a seed another choice each time."""
+    import random
+
+    return n_sample(df, key, n, random.randrange(1 << 30) if seed is None else seed)

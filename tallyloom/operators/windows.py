@@ -53,3 +53,19 @@ def top_per_group(df: DataFrame, by: list[str], order: list, k: int) -> DataFram
 def numbered(df: DataFrame, by: list[str], order: list, name: str) -> DataFrame:
     """Collision suffix: 1, 2, … within the key."""
     return df.withColumn(name, F.row_number().over(W.partitionBy(*by).orderBy(*order)))
+
+
+def first_in_order(df: DataFrame, order: list, k: int) -> DataFrame:
+    """The first ``k`` rows in ``order`` (which must be total) with their ``place`` from 1: a bounded sort, of which one task numbers ``k`` rows."""
+    top = df.orderBy(*order).limit(k)
+    return top.withColumn("place", F.row_number().over(W.orderBy(*order)))
+
+
+def category_codes(df: DataFrame, column: str, name: str) -> DataFrame:
+    """Dense codes from 0 in order of the values, null as -1.
+
+    The distinct values are counted first; they are the categories, so they are few beside the rows. Only they are sorted.
+    """
+    values = df.where(F.col(column).isNotNull()).select(column).distinct()
+    codes = values.withColumn(name, F.row_number().over(W.orderBy(column)) - 1)
+    return df.join(codes, column, "left").withColumn(name, F.coalesce(name, F.lit(-1)))

@@ -12,7 +12,7 @@ from tallyloom.operators.aggregate import token_loss
 #: Share of the plain text's words that a good extraction may lose, and the share that calls for a warning.
 GOOD, WARN = 0.002, 0.01
 BOILERPLATE = [r"^\s*Ein Service (des|der) ", r"^\s*Seite \p{N}+ von \p{N}+\s*$", r"^\s*www\.\S+\s*$"]
-MASTHEAD = r"(?i)^\s*(amtliches verkündungsblatt|jahrgang \p{N}+|nr\. \p{N}+)"
+MASTHEAD = r"(?iu)^\s*(amtliches verkündungsblatt|jahrgang \p{N}+|nr\. \p{N}+)"
 
 
 def clean_lines(df: DataFrame, key: str, md: str) -> DataFrame:
@@ -45,12 +45,12 @@ def merge_parts(parts: DataFrame, main_mark: str = "regelungstext") -> DataFrame
 def quality_flags(df: DataFrame, key: str, text: str, pages: str, number: str) -> DataFrame:
     """``(key, flags)``: short text, few characters per page, another number in the masthead, masthead left, letter-spacing left."""
     t = F.coalesce(F.col(text), F.lit(""))
-    cited = F.regexp_extract(t, r"(?i)^.{0,400}?\bnr\. (\p{N}+\p{L}?)", 1)
+    cited = F.regexp_extract(t, r"(?iu)^.{0,400}?\bnr\. (\p{N}+\p{L}?)", 1)
     flags = [
         (F.length(t) < 200, "short"),
         ((F.col(pages) > 0) & (F.length(t) / F.col(pages) < 300), "few_characters_per_page"),
         ((cited != "") & (cited != F.col(number)), "number_mismatch"),
-        (t.rlike(r"(?im)" + MASTHEAD[4:]), "masthead_left"),
+        (t.rlike(MASTHEAD.replace("(?iu)", "(?ium)")), "masthead_left"),
         (F.size(T.letter_spacing(t)) > 0, "letter_spacing_left"),
     ]
     return df.select(key, F.array_compact(F.array(*[F.when(F.coalesce(c, F.lit(False)), F.lit(n)) for c, n in flags])).alias("flags"))

@@ -125,6 +125,6 @@ def annotate_merge(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame
 
 
 def completeness(labels: DataFrame, item: str, fields: list[str]) -> DataFrame:
-    """``(item, n_done, complete)``, open items first."""
+    """``(item, n_done, complete)``."""
     per = labels.groupBy(item).agg(F.count_distinct(F.when(F.col("value").isNotNull() & F.col("field").isin(fields), F.col("field"))).alias("n_done"))
-    return per.withColumn("complete", F.col("n_done") == len(fields)).orderBy("complete", item)
+    return per.withColumn("complete", F.col("n_done") == len(fields))

@@ -23,9 +23,9 @@ def decisions_now(log: DataFrame) -> DataFrame:
 
 
 def triage_apply(accepted: DataFrame, borderline: DataFrame, decisions: DataFrame, key: str, date: str) -> DataFrame:
-    """Accepted rows and the borderline ones decided ``y``, by date (missing first), then key."""
+    """Accepted rows and the borderline ones decided ``y``; :func:`tallyloom.functions.dates.date_order` sorts them."""
     yes = borderline.join(decisions.where("decision = 'y'").select(F.col("key").alias(key)).distinct(), key, "left_semi")
-    return accepted.unionByName(yes).orderBy(F.coalesce(date, F.lit("")), key)
+    return accepted.unionByName(yes)
 
 
 def topic_triage(assigned: DataFrame, topic_decisions: DataFrame, doc_decisions: DataFrame) -> DataFrame:
@@ -55,10 +55,9 @@ def final_set(union: DataFrame, key: str, title_decisions: DataFrame, kept_topic
 def prepare_topic_text(docs: DataFrame, key: str, title: str, text: str) -> DataFrame:
     """``(key, doc_class, clean_title, referenced, embed_text)``: what an encoder gets of each document."""
     t = F.col(title)
-    return docs.select(
-        key, T.document_class(t).alias("doc_class"), T.drop_abbreviations(T.clean_title(t)).alias("clean_title"), F.nullif(T.referenced_title(t), F.lit("")).alias("referenced"),
-        T.join_sections(T.clean_title(t), T.title_opening(t, F.col(text))).alias("embed_text"),
-    )
+    base = docs.select(key, T.document_class(t).alias("doc_class"), T.clean_title(t).alias("clean_title"), F.nullif(T.referenced_title(t), F.lit("")).alias("referenced"), T.title_opening(t, F.col(text)).alias("__body"))
+    whole = F.when(F.col("__body") == "", F.col("clean_title")).otherwise(F.concat_ws(". ", "clean_title", "__body"))
+    return base.select(key, "doc_class", "clean_title", "referenced", whole.alias("embed_text"))
 
 
 def attach_children(docs: DataFrame, topic_of: DataFrame, date: str, least: float = 0.85) -> DataFrame:

@@ -969,3 +969,7 @@ def f1_with_alpha(spark, d):
     a = reliability.alpha(long.select("variable", "unit", "r.coder", "r.value"))
     m = _macro(spark, d).withColumn("variable", F.concat_ws("|", *_RUN))
     return m.join(a, "variable").select(*_RUN, F.round("macro_f1", 6).alias("macro_f1"), F.round("alpha", 6).alias("alpha"))
+
+
+# the rest of the queries register themselves
+from tallyloom import queries_text  # noqa: E402, F401
