@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 def keep_first(df: DataFrame, keys: list[str], order: list[Column], null_keys: str = "group") -> DataFrame:
     """The first row per key in ``order`` (which must be total). ``null_keys`` is ``group`` (nulls are one key) or ``keep``.
 
-    Done by one aggregate with map-side combine: ``min_by`` over an ordered struct keeps one row per key and task, so a
-    key with any share of the rows is never collected.
+    A window over the key, for orders that mix directions; each task keeps the first row of every key it holds before the
+    shuffle. :func:`keep_best` does the same by one aggregate where the order is a struct.
     """
     rest = None
     if null_keys == "keep":

@@ -42,13 +42,21 @@ def coverage(found: DataFrame, misses: DataFrame, group: str, number: str) -> Da
 def ranked_parents(children: DataFrame, parents: DataFrame, stems: str, date: str, least: float) -> DataFrame:
     """Best parent of every child: not later, with at least ``least`` of the child's stems; most overlap, then Jaccard, then latest, then smallest id.
 
-    ``id`` and an array of distinct ``stems`` on both sides. Found over an inverted index (equi-join on stems), not over all
-    pairs; the rarest two stems of a child need not both be in a parent, so all are joined and counted.
+    ``id`` and an array of distinct ``stems`` on both sides. A parent may lack at most ``cn - ceil(least * cn)`` of a child's
+    ``cn`` stems, so of any one more than that it has at least one: only that many stems of a child are joined, the rarest
+    among the parents, and the pairs found are compared in full. Stems that most titles share are never joined on.
     """
-    c = children.select(F.col("id").alias("child"), F.col(date).alias("cd"), F.size(stems).alias("cn"), F.explode(stems).alias("stem"))
-    p = parents.select(F.col("id").alias("parent"), F.col(date).alias("pd"), F.size(stems).alias("pn"), F.explode(stems).alias("stem"))
-    hit = c.join(p, "stem").where("pd <= cd").groupBy("child", "parent", "cn", "pn", "pd").agg(F.count("*").alias("common"))
-    score = hit.withColumn("overlap", F.col("common") / F.col("cn")).withColumn("jaccard", F.col("common") / (F.col("cn") + F.col("pn") - F.col("common"))).where(F.col("overlap") >= least)
+    c = children.select(F.col("id").alias("child"), F.col(date).alias("cd"), F.col(stems).alias("cs"), F.size(stems).alias("cn")).where("cn > 0")
+    p = parents.select(F.col("id").alias("parent"), F.col(date).alias("pd"), F.col(stems).alias("ps"), F.explode(stems).alias("stem"))
+    often = p.groupBy("stem").agg(F.count("*").alias("n"))
+    own = c.select("child", "cn", F.explode("cs").alias("stem")).join(often, "stem", "left")
+    rare = F.transform(F.array_sort(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "stem"))), lambda x: x["stem"])
+    need = F.ceil(F.lit(least) * F.col("cn") - F.lit(1e-9))
+    keys = own.groupBy("child", "cn").agg(rare.alias("r")).select("child", F.explode(F.slice("r", F.lit(1), (F.col("cn") - need + 1).cast("int"))).alias("stem"))
+    met = keys.join(p.select("parent", "stem"), "stem").select("child", "parent").distinct()
+    full = met.join(c, "child").join(parents.select(F.col("id").alias("parent"), F.col(date).alias("pd"), F.col(stems).alias("ps")), "parent").where("pd <= cd")
+    common = F.size(F.array_intersect("cs", "ps"))
+    score = full.select("child", "parent", "pd", (common / F.col("cn")).alias("overlap"), (common / (F.col("cn") + F.size("ps") - common)).alias("jaccard")).where(F.col("overlap") >= least)
     w = W.partitionBy("child").orderBy(F.desc("overlap"), F.desc("jaccard"), F.desc("pd"), "parent")
     return score.withColumn("r", F.row_number().over(w)).where("r = 1").select("child", "parent", "overlap", "jaccard")
 

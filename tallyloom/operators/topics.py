@@ -202,3 +202,15 @@ def density_clusters(docs: DataFrame, key: str, vec: str, least: float = 0.8, co
     sizes = member.groupBy("c").agg(F.count("*").alias("n")).where(F.col("n") >= smallest)
     kept = member.join(sizes, "c").select("k", "c")
     return base.select("k").join(kept, "k", "left").select(F.col("k").alias(key), F.coalesce("c", F.lit(-1)).alias("cluster"))
+
+
+def reduced(df: DataFrame, key: str, vec: str, k: int = 5) -> DataFrame:
+    """``(key, reduced)``: the first ``k`` principal components of the vectors (fewer if they have fewer dimensions)."""
+    from pyspark.ml.feature import PCA
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+
+    base = df.where(F.col(vec).isNotNull()).select(key, array_to_vector(F.transform(vec, lambda x: x.cast("double"))).alias("__v"))
+    first = base.select(F.size(vector_to_array("__v"))).limit(1).collect()
+    if not first:
+        return df.limit(0).select(key, F.lit(None).cast("array<double>").alias("reduced"))
+    return PCA(k=min(k, first[0][0]), inputCol="__v", outputCol="__r").fit(base).transform(base).select(key, vector_to_array("__r").alias("reduced"))

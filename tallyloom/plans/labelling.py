@@ -112,6 +112,24 @@ def classify_run(entries: DataFrame, models: DataFrame, prompt_table: DataFrame,
     return parsed.select(F.col("k").alias(key), "model", "prompt_key", labels.alias("llm_labels"), error.alias("llm_error"))
 
 
+def summarise(df: DataFrame, key: str, text: str, client: Callable[[str, str], str], system: str = "Summarise the abstract.") -> DataFrame:
+    """``(key, summary)``: one request for every non-empty text; the client answers a JSON object with ``summary``; any error gives null."""
+    kind = df.schema[key].dataType.simpleString()
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            out = []
+            for t in b["t"]:
+                try:
+                    out.append(client(system, t) if t is not None and t.strip() else None)
+                except Exception:  # noqa: BLE001
+                    out.append(None)
+            yield pd.DataFrame({"k": b["k"], "raw": out})
+
+    asked = df.select(F.col(key).alias("k"), F.col(text).alias("t")).mapInPandas(run, f"k {kind}, raw string")
+    return asked.select(F.col("k").alias(key), F.get_json_object(L.first_object(F.col("raw")), "$.summary").alias("summary"))
+
+
 def gs_sample(policies: DataFrame, key: str, share: float = 0.10, seed: int = 42) -> DataFrame:
     return share_sample(policies, key, share, seed)
 

@@ -75,6 +75,19 @@ def attach_children(docs: DataFrame, topic_of: DataFrame, date: str, least: floa
     return j.select("id", F.coalesce("parent_topic", "topic_id", F.lit(-1)).alias("topic_id"), source.alias("topic_source"), "parent_id")
 
 
+def fit_topics(docs: DataFrame, key: str, vec: str, words: Column, dims: int | None = None, least: float = 0.8, core: int = 5, smallest: int = 10, max_share: float = 0.3) -> tuple[DataFrame, DataFrame]:
+    """(``(key, topic)``, ``(topic, token, n, weight)``): density clusters of the vectors, -1 for noise, and the weights of their terms.
+
+    ``dims`` brings the vectors to so many principal components first. ``words`` is an array of the lemmas of each document;
+    terms are runs of one and two words of three letters and more, those in more than ``max_share`` of the topics left out.
+    """
+    base = topics.reduced(docs, key, vec, dims) if dims else docs.select(key, F.col(vec).alias("reduced"))
+    found = topics.density_clusters(base, key, "reduced", least=least, core=core, smallest=smallest).withColumnRenamed("cluster", "topic")
+    terms = F.explode(T.ngrams(F.filter(words, lambda w: w.rlike(r"^\p{L}{3,}$")), 2))
+    tokens = docs.select(key, terms.alias("token")).join(found.where("topic <> -1"), key)
+    return found, topics.class_tfidf(tokens, "topic", "token", max_share=max_share)
+
+
 def topic_summary(members: DataFrame, key: str, topic: str, vec: str, tokens: Column, k_words: int = 8, k_docs: int = 10) -> DataFrame:
     """``(topic, n, top_words, representatives)``: size, best words by class TF-IDF and the documents nearest to the centroid."""
     from pyspark.sql import Window as W

@@ -265,15 +265,25 @@ def coder_overlap(spark, d):
 _STEM_SQL = r"""SELECT id, date_published AS pd, list_distinct(list_transform(list_filter(regexp_extract_all(regexp_replace(lower(title), '[0-9]{1,2}\. ?\p{L}+ [0-9]{4}', ' ', 'g'), '([\p{L}\p{N}]+)', 1), lambda w: NOT list_contains(string_split('der die das den dem des und oder zur zum von vom für über mit nach ein eine einer eines auf im in an am bei', ' '), w)), lambda w: coalesce(nullif(regexp_replace(w, '(es|en|er|em|e|s|n)$', ''), ''), w))) AS stems FROM (SELECT id, min(date_published) AS date_published, min(title) AS title FROM final_policy_set WHERE title IS NOT NULL AND date_published IS NOT NULL GROUP BY id)"""
 
 
-@query("parent_match", f"""WITH s AS ({_STEM_SQL}), c AS (SELECT * FROM s WHERE ends_with(id, '-1')), ce AS (SELECT id, pd, len(stems) AS n, unnest(stems) AS st FROM c), pe AS (SELECT id, pd, len(stems) AS n, unnest(stems) AS st FROM s WHERE NOT (ends_with(id, '-1'))),
+# corrections and annexes by their titles; the words that stand for them are those of the title they name
+_NAMED_SQL = r"""coalesce(nullif(regexp_extract(title, '(?is)^\s*(?:Berichtigung|Anlage(?:nband)?)\s+(?:de[rs]|zu[mr]?)\s+(.+?)\s*$', 1), ''), regexp_replace(title, '(?i)^\s*(?:Berichtigung|Anlage(?:nband)?)\b[\s:–-]*', ''))"""
+_CHILD_SQL = r"""regexp_matches(title, '(?i)^\s*(Berichtigung\b|Anlage(nband)?\b)')"""
+_PARENTS_SQL = f"""t AS (SELECT id, min(date_published) AS date_published, min(title) AS title FROM final_policy_set WHERE title IS NOT NULL AND date_published IS NOT NULL GROUP BY id),
+s AS ({_STEM_SQL.split(' FROM (SELECT')[0].replace('lower(title)', f'lower({_NAMED_SQL})')}, {_CHILD_SQL} AS is_child FROM t),
+ce AS (SELECT id, pd, len(stems) AS n, unnest(stems) AS st FROM s WHERE is_child), pe AS (SELECT id, pd, len(stems) AS n, unnest(stems) AS st FROM s WHERE NOT is_child),
 h AS (SELECT ce.id AS child, pe.id AS parent, any_value(ce.n) AS cn, any_value(pe.n) AS pn, any_value(pe.pd) AS pd, count(*) AS k FROM ce JOIN pe USING (st) WHERE pe.pd <= ce.pd GROUP BY 1, 2),
-r AS (SELECT *, k / cn AS o, k / (cn + pn - k) AS j FROM h WHERE k / cn >= 0.85), w AS (SELECT *, row_number() OVER (PARTITION BY child ORDER BY o DESC, j DESC, pd DESC, parent) AS x FROM r)
-SELECT child, parent, round(o, 6) AS overlap, round(j, 6) AS jaccard FROM w WHERE x = 1""")
+r AS (SELECT *, k / cn AS o, k / (cn + pn - k) AS j FROM h WHERE k / cn >= 0.85), w AS (SELECT *, row_number() OVER (PARTITION BY child ORDER BY o DESC, j DESC, pd DESC, parent) AS x FROM r)"""
+
+
+def _titled(spark, d):
+    p = table(spark, d, "final_policy_set").where("title IS NOT NULL AND date_published IS NOT NULL").groupBy("id").agg(F.min("title").alias("title"), F.min("date_published").alias("date_published"))
+    return p.select("id", "date_published", T.document_class(F.col("title")).alias("doc_class"), T.stems(T.named_title(F.col("title"))).alias("stems"))
+
+
+@query("parent_match", f"WITH {_PARENTS_SQL} SELECT child, parent, round(o, 6) AS overlap, round(j, 6) AS jaccard FROM w WHERE x = 1")
 def parent_match(spark, d):
-    p = table(spark, d, "final_policy_set").where("title IS NOT NULL AND date_published IS NOT NULL").groupBy("id").agg(F.min("date_published").alias("date_published"), F.min("title").alias("title"))
-    s = p.select("id", "date_published", T.stems(F.col("title")).alias("stems"))
-    is_child = F.endswith("id", F.lit("-1"))
-    out = joins.ranked_parents(s.where(is_child), s.where(~is_child), "stems", "date_published", 0.85)
+    s = _titled(spark, d)
+    out = joins.ranked_parents(s.where("doc_class <> 'regular'"), s.where("doc_class = 'regular'"), "stems", "date_published", 0.85)
     return out.select("child", "parent", F.round("overlap", 6).alias("overlap"), F.round("jaccard", 6).alias("jaccard"))
 
 
@@ -741,12 +751,11 @@ def final_selection(spark, d):
     return selection.final_set(selection.require_decided(u, "source"), "title", dec, files.literal(spark, [(3,)], "topic_id int"), picks).select("title", "id")
 
 
-@query("children_attached")
+@query("children_attached", f"""WITH {_PARENTS_SQL}, b AS (SELECT child, parent FROM w WHERE x = 1), k AS (SELECT id, (len(title) % 7)::INT AS topic FROM t)
+SELECT s.id, coalesce(pk.topic, k.topic) AS topic_id, CASE WHEN NOT is_child THEN 'cluster' WHEN pk.topic IS NOT NULL THEN 'parent' ELSE 'transform' END AS topic_source, b.parent AS parent_id FROM s JOIN k USING (id) LEFT JOIN b ON b.child = s.id LEFT JOIN k pk ON pk.id = b.parent""")
 def children_attached(spark, d):
-    p = table(spark, d, "final_policy_set").where("title IS NOT NULL AND date_published IS NOT NULL").groupBy("id").agg(F.min("title").alias("title"), F.min("date_published").alias("date_published"))
-    docs = p.select("id", "date_published", T.document_class(F.col("title")).alias("doc_class"), T.stems(T.named_title(F.col("title"))).alias("stems"))
-    topic_of = p.select("id", (F.pmod(F.xxhash64("title"), F.lit(7))).cast("int").alias("topic_id"))
-    return selection.attach_children(docs, topic_of, "date_published")
+    topic_of = table(spark, d, "final_policy_set").where("title IS NOT NULL AND date_published IS NOT NULL").groupBy("id").agg((F.length(F.min("title")) % 7).alias("topic_id"))
+    return selection.attach_children(_titled(spark, d), topic_of, "date_published")
 
 
 @query("gold_sample", "SELECT id FROM (SELECT DISTINCT id FROM final_policy_set) ORDER BY md5('42|' || id), id LIMIT (SELECT round_even(count(DISTINCT id) * 0.10, 0)::BIGINT FROM final_policy_set)")
@@ -972,4 +981,4 @@ def f1_with_alpha(spark, d):
 
 
 # the rest of the queries register themselves
-from tallyloom import queries_text  # noqa: E402, F401
+from tallyloom import queries_sources, queries_text  # noqa: E402, F401

@@ -6,7 +6,6 @@ import os
 import re
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -15,9 +14,9 @@ VALUE = "struct<value: string, coder: string, date: string>"
 RUN_SCHEMA = f"run_metadata struct<date: string, model: string, prompt_key: string, temperature: double, seed: bigint, top_p: double, input_file: string, system_fingerprints: string>, entries array<struct<id: string, llm_labels: map<string, {VALUE}>, llm_error: string>>"
 
 
-def read_json(spark: SparkSession, path: str, schema: str | T.StructType) -> DataFrame:
-    """A JSON array or an object per file, plain or gzipped."""
-    return spark.read.schema(schema).option("multiLine", True).json(path)
+def read_json(spark: SparkSession, path: str, schema: str | T.StructType, lines: bool = False) -> DataFrame:
+    """A JSON array or an object per file, or with ``lines`` an object per line; plain or gzipped."""
+    return spark.read.schema(schema).option("multiLine", not lines).json(path)
 
 
 def read_json_map(spark: SparkSession, path: str, value_schema: str) -> DataFrame:
@@ -28,7 +27,7 @@ def read_json_map(spark: SparkSession, path: str, value_schema: str) -> DataFram
 
 def read_csv(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
     """The ``columns`` that a CSV with header has, all as text, in their order."""
-    df = spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path)
+    df = spark.read.option("header", True).option("multiLine", True).option("escape", '"').option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
     have = {c.lower(): c for c in df.columns}
     return df.select(*[F.col(f"`{have[c.lower()]}`").alias(c) for c in columns if c.lower() in have])
 
@@ -97,9 +96,9 @@ def best_run_files(entries: DataFrame, blacklist: list[str] = ()) -> DataFrame:
     return kept.where(~F.col("is_partial")).unionByName(kept.where("is_partial").join(complete, ["model", "prompt_key"], "left_anti"))
 
 
-def read_gold(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+def read_gold(spark: SparkSession, path: str, lines: bool = False) -> tuple[DataFrame, DataFrame]:
     """(labelled entries, ids of entries without labels)."""
-    df = read_json(spark, path, f"id string, gs_labels map<string, {VALUE}>")
+    df = read_json(spark, path, f"id string, gs_labels map<string, {VALUE}>", lines)
     return df.where("gs_labels IS NOT NULL"), df.where("gs_labels IS NULL").select("id")
 
 
@@ -134,7 +133,7 @@ def write_json(df: DataFrame, path: str, gzip: bool = False) -> None:
 
 
 def write_csv(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
+    df.write.mode("overwrite").option("header", True).option("escape", '"').option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
 
 
 def write_once(df: DataFrame, path: str) -> bool:
@@ -175,5 +174,23 @@ def observed(df: DataFrame, name: str, **metrics):
     return df.observe(o, *[c.alias(n) for n, c in metrics.items()]), o
 
 
-def first_of_duplicates(df: DataFrame, keys: list[str], order: list) -> DataFrame:
-    return df.withColumn("__r", F.row_number().over(W.partitionBy(*keys).orderBy(*order))).where("__r = 1").drop("__r")
+def replace_atomically(df: DataFrame, path: str) -> None:
+    """Write beside ``path`` and put the new output in its place by a rename, so that a reader never meets half of it."""
+    jvm = df.sparkSession.sparkContext._jvm
+    p, part = jvm.org.apache.hadoop.fs.Path(path), jvm.org.apache.hadoop.fs.Path(path.rstrip("/") + ".part")
+    fs = p.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration())
+    df.write.mode("overwrite").parquet(part.toString())
+    fs.delete(p, True)
+    if not fs.rename(part, p):
+        raise OSError(f"{part} could not take the place of {path}")
+
+
+def write_log(spark: SparkSession, text: str, path: str) -> None:
+    """A run log in a file that only may be read."""
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    out = fs.create(p, True)
+    out.write(bytearray(text.encode()))
+    out.close()
+    fs.setPermission(p, jvm.org.apache.hadoop.fs.permission.FsPermission("444"))

@@ -10,7 +10,7 @@ from collections.abc import Callable, Iterator
 from html.parser import HTMLParser
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
@@ -95,9 +95,10 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
 
 def letter_gaps(lines: DataFrame) -> DataFrame:
     """``(line, median_gap, spaced)`` of glyph lines ``(line, glyphs array<struct<c, x0, x1>>)``: the median distance between neighbours and whether it is over half their width."""
-    e = lines.select("line", F.posexplode("glyphs").alias("i", "g"))
-    nxt = lines.select("line", F.posexplode("glyphs").alias("j", "h")).withColumn("i", F.col("j") - 1)
-    g = e.join(nxt, ["line", "i"]).select("line", (F.col("h.x0") - F.col("g.x1")).alias("gap"), (F.col("g.x1") - F.col("g.x0")).alias("w"))
+    # neighbours are met inside the line's own array
+    n = F.size("glyphs")
+    pairs = F.when(n > 1, F.arrays_zip(F.slice("glyphs", F.lit(1), n - 1).alias("g"), F.slice("glyphs", F.lit(2), n - 1).alias("h")))
+    g = lines.select("line", F.explode(pairs).alias("p")).select("line", (F.col("p.h.x0") - F.col("p.g.x1")).alias("gap"), (F.col("p.g.x1") - F.col("p.g.x0")).alias("w"))
     return g.groupBy("line").agg(F.percentile("gap", F.lit(0.5)).alias("median_gap"), F.percentile("w", F.lit(0.5)).alias("mw")).select("line", "median_gap", (F.col("median_gap") > F.col("mw") / 2).alias("spaced"))
 
 
@@ -155,21 +156,116 @@ def fixture_fetcher(url: str) -> dict:
 register_fetcher("fixture", fixture_fetcher)
 
 
-class Busy(Exception):
+# fixed values: answers after which a request is made again, how often, and the factor of the pauses
+RETRY_STATUS, RETRIES, BACKOFF = (429, 500, 502, 503, 504), 3, 2.0
+
+
+class HttpStatus(Exception):
+    """An answer that is no page."""
+
+    def __init__(self, code: int):
+        super().__init__(f"HTTP {code}")
+        self.code = code
+
+
+class Busy(HttpStatus):
     """The service asks to wait."""
 
+    def __init__(self):
+        super().__init__(429)
+
 
-def _retry(call: Callable[[], dict], tries: int = 5, base: float = 1.0, sleep=time.sleep) -> dict:
-    """Call with exponential backoff; the last error is raised."""
+def _retry(call: Callable[[], dict], tries: int = RETRIES + 1, base: float = BACKOFF, sleep=time.sleep, method: str = "GET") -> dict:
+    """Call with exponential backoff; other methods than GET, other answers, and the last error are raised at once."""
     for n in range(tries):
         try:
             return call()
-        except (Busy, TimeoutError):
-            if n == tries - 1:
+        except (HttpStatus, TimeoutError) as e:
+            if n == tries - 1 or method != "GET" or (isinstance(e, HttpStatus) and e.code not in RETRY_STATUS):
                 raise
             sleep(base * 2**n)
 
 
+def request_status(code: Column, number: Column, title: Column) -> Column:
+    """``(status, detail)`` of a detail request: 404 is ``not_found``, another failure ``error``, a page without the number ``unparsed`` with its title, else ``ok``."""
+    status = F.when(code == 404, "not_found").when((code >= 400) | code.isNull(), "error").when(number.isNull(), "unparsed").otherwise("ok")
+    detail = F.when(status == "unparsed", title).when(status == "error", F.concat(F.lit("HTTP "), F.coalesce(code.cast("string"), F.lit("failed"))))
+    return F.struct(status.alias("status"), detail.alias("detail"))
+
+
+def fetch_details(ids: DataFrame, cache: DataFrame, key: str, fetch: Callable[[str], list[str]]) -> DataFrame:
+    """``(key, text, failed, is_cached)``: second pass, one request for every id that ``cache`` (key, text, failed) has not.
+
+    The parts of a document are joined by a blank line. A failure gives the empty text, is flagged, and is cached like any
+    other, so it is not asked for again.
+    """
+    kind = ids.schema[key].dataType.simpleString()
+    known = cache.select(F.col(key).alias("k"), "text", "failed").dropDuplicates(["k"])
+    wanted = ids.where(F.col(key).isNotNull()).select(F.col(key).alias("k")).distinct()
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            texts, failed = [], []
+            for k in b["k"]:
+                try:
+                    texts.append("\n\n".join(_retry(lambda k=k: fetch(k))))
+                    failed.append(False)
+                except (HttpStatus, TimeoutError, OSError):
+                    texts.append("")
+                    failed.append(True)
+            yield pd.DataFrame({"k": b["k"], "text": texts, "failed": failed})
+
+    new = wanted.join(known.select("k"), "k", "left_anti").mapInPandas(run, f"k {kind}, text string, failed boolean").withColumn("is_cached", F.lit(False))
+    old = known.join(wanted, "k", "left_semi").withColumn("is_cached", F.lit(True))
+    return new.unionByName(old).withColumnRenamed("k", key)
+
+
+def download_json(spark: SparkSession, fetch: Callable[[], object], path: str) -> DataFrame:
+    """One document of a service, stored as it is with indents and read as one row ``(value)`` of text."""
+    import json
+
+    from tallyloom.sources.files import write_log
+
+    write_log(spark, json.dumps(_retry(fetch), indent=2, ensure_ascii=False), path)
+    return spark.read.text(path, wholetext=True)
+
+
+def upgraded_state(state: Column) -> Column:
+    """State of a fetch run as JSON with ``pages`` and ``misses``; an older flat one becomes the pages, null an empty state."""
+    empty = '{"pages":{},"misses":{}}'
+    new = F.get_json_object(state, "$.pages").isNotNull() & F.get_json_object(state, "$.misses").isNotNull()
+    return F.when(state.isNull(), F.lit(empty)).when(new, state).otherwise(F.concat(F.lit('{"pages":'), state, F.lit(',"misses":{}}')))
+
+
+def extract_cached(docs: DataFrame, cache: DataFrame, engines: dict[str, Callable[[bytes], tuple[str, int]]], force: bool = False) -> DataFrame:
+    """``(doc, engine, engine_no, md_text, n_pages, is_cached)``: every document through every engine, unless ``cache`` (doc, engine, md_text, n_pages) has it.
+
+    ``docs`` has ``doc`` and ``content``. ``force`` runs all engines again. A document that an engine cannot read has null
+    text. The engines are functions of bytes, in their order of preference; a library for a format is plugged in here.
+    """
+    names = list(engines)
+    every = docs.select("doc", "content", F.posexplode(F.array(*[F.lit(n) for n in names])).alias("engine_no", "engine"))
+    held = cache.where(F.col("engine").isin(names)).select("doc", "engine", "md_text", "n_pages").dropDuplicates(["doc", "engine"])
+    todo = every if force else every.join(held.select("doc", "engine"), ["doc", "engine"], "left_anti")
+    kind = docs.schema["doc"].dataType.simpleString()
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            out = []
+            for c, e in zip(b["content"], b["engine"]):
+                try:
+                    out.append(engines[e](c) if c is not None else (None, None))
+                except Exception:  # noqa: BLE001
+                    out.append((None, None))
+            yield pd.DataFrame({"doc": b["doc"], "engine": b["engine"], "engine_no": b["engine_no"], "md_text": [x[0] for x in out], "n_pages": pd.array([x[1] for x in out], "Int64")})
+
+    new = todo.select("doc", "engine", "engine_no", "content").mapInPandas(run, f"doc {kind}, engine string, engine_no int, md_text string, n_pages bigint").withColumn("is_cached", F.lit(False))
+    if force:
+        return new
+    old = every.drop("content").join(held, ["doc", "engine"]).withColumn("is_cached", F.lit(True))
+    return new.unionByName(old.select(*new.columns))
+
+
 def probe(groups: DataFrame, fetch: Callable[[int, int], str], stop: int = 5, highest: int = 2000) -> DataFrame:
     """``(year, number, status)``: numbers asked one after the other in each year until ``stop`` misses or errors in a row.
 

@@ -26,33 +26,58 @@ def sessions(events: DataFrame, ts: str, key: str, gap: str, late: str) -> DataF
     return events.withWatermark(ts, late).groupBy(w, key).agg(F.count("*").alias("n")).select(key, F.col("session_window.start").alias("start"), F.col("session_window.end").alias("end"), "n")
 
 
-def upsert_latest(events: DataFrame, keys: list[str], order: list[str], path: str, checkpoint: str):
-    """Keeps the latest row per key in a parquet table: every batch is merged with the last version and written as the next.
+def upsert_latest(events: DataFrame, keys: list[str], order: list[str], path: str, checkpoint: str, buckets: int = 16):
+    """Keeps the latest row per key in a parquet table of ``buckets`` parts by a hash of the key.
 
-    Versions are folders named by batch, so a batch that runs again after a failure writes the same result. An empty stream
-    writes nothing. Returns the started query.
+    A batch rewrites only the buckets that its keys fall into, and pre-aggregates before it meets them; a bucket's versions
+    are folders named by batch, so a batch that runs again after a failure writes the same result, and versions before the
+    last two are removed. An empty stream writes nothing. Returns the started query.
     """
     from tallyloom.operators.windows import latest_state
 
     def merge(batch: DataFrame, n: int) -> None:
         spark = batch.sparkSession
-        jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        fs = p.getFileSystem(conf)
-        old = [int(s.getPath().getName().split("=")[1]) for s in fs.listStatus(p)] if fs.exists(p) else []
-        old = [v for v in old if v < n]
-        rows = batch.unionByName(spark.read.parquet(f"{path}/version={max(old)}")) if old else batch
-        latest_state(rows, keys, order).write.mode("overwrite").parquet(f"{path}/version={n}")
+        new = latest_state(batch, keys, order).withColumn("__b", F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")).persist()
+        hit = [r[0] for r in new.select("__b").distinct().collect()]  # at most ``buckets``
+        held = {b: v for b, v in _versions(spark, path, n).items() if b in hit}
+        rows = new.drop("__b")
+        if held:
+            rows = rows.unionByName(spark.read.parquet(*[f"{path}/bucket={b}/version={max(v)}" for b, v in sorted(held.items())]))
+        out = latest_state(rows, keys, order).withColumn("bucket", F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")).withColumn("version", F.lit(n))
+        # only the folders of this batch are written over
+        out.repartition(min(buckets, max(len(hit), 1)), "bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket", "version").parquet(path)
+        new.unpersist()
+        _drop_old(spark, path, {b: sorted(v)[:-1] for b, v in held.items()})
 
     return events.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def _fs(spark: SparkSession, path: str):
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
+
+
+def _versions(spark: SparkSession, path: str, before: int | None = None) -> dict[int, list[int]]:
+    """The versions of every bucket, those of batch ``before`` and later left out."""
+    fs, p = _fs(spark, path)
+    out: dict[int, list[int]] = {}
+    for s in fs.globStatus(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(p, "bucket=*/version=*")) or [] if fs.exists(p) else []:
+        b, v = (int(x.split("=")[1]) for x in s.getPath().toString().rstrip("/").split("/")[-2:])
+        if before is None or v < before:
+            out.setdefault(b, []).append(v)
+    return out
+
+
+def _drop_old(spark: SparkSession, path: str, old: dict[int, list[int]]) -> None:
+    fs, _ = _fs(spark, path)
+    for b, versions in old.items():
+        for v in versions:
+            fs.delete(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/bucket={b}/version={v}"), True)
+
+
 def read_latest(spark: SparkSession, path: str) -> DataFrame:
-    """The last version that :func:`upsert_latest` wrote."""
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    versions = [int(s.getPath().getName().split("=")[1]) for s in p.getFileSystem(conf).listStatus(p)]
-    return spark.read.parquet(f"{path}/version={max(versions)}")
+    """The table that :func:`upsert_latest` keeps: the last version of every bucket."""
+    return spark.read.parquet(*[f"{path}/bucket={b}/version={max(v)}" for b, v in sorted(_versions(spark, path).items())])
 
 
 def rate_limited(events: DataFrame, key: str, ts: str, per_minute: int, per_hour: int) -> DataFrame:
