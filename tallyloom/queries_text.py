@@ -222,3 +222,12 @@ o AS (SELECT *, row_number() OVER (PARTITION BY doc ORDER BY NOT m, part_no) AS
 SELECT doc, string_agg(CASE WHEN m OR i = 1 THEN text ELSE '## ' || name || chr(10) || chr(10) || text END, chr(10) || chr(10) ORDER BY i) AS text, (count(*) FILTER (m))::BIGINT AS n_main, count(*)::BIGINT AS n_parts FROM o GROUP BY doc"""
 SQL["fingerprints"] = """WITH h AS (SELECT sha256(doc_id || chr(31) || coalesce(text, chr(0))) AS h FROM documents), s AS (SELECT count(*) AS n, sum(('0x' || substr(h, 1, 12))::BIGINT::HUGEINT) AS a, sum(('0x' || substr(h, 13, 12))::BIGINT::HUGEINT) AS b, sum(('0x' || substr(h, 25, 12))::BIGINT::HUGEINT) AS c, sum(('0x' || substr(h, 37, 12))::BIGINT::HUGEINT) AS d FROM h)
 SELECT n::BIGINT AS n, sha256(n || ',' || a || ',' || b || ',' || c || ',' || d) AS sha256 FROM s"""
+SQL["best_engines"] = r"""WITH t AS (SELECT id AS doc, min(full_text) AS t FROM final_policy_set WHERE full_text IS NOT NULL GROUP BY id), e AS (SELECT doc, 'layout' AS engine, 1 AS engine_no, t AS a, regexp_replace(t, '\d+', '', 'g') AS b FROM t UNION ALL SELECT doc, 'legacy', 2, t, regexp_replace(t, 'Euro', '', 'g') FROM t),
+x AS (SELECT doc, engine, engine_no, unnest(regexp_extract_all(regexp_replace(a, '(?i)<br\s*/?>', ' ', 'g'), '[\p{L}\p{N}_]+')) AS w, 1 AS n, 0 AS m FROM e UNION ALL SELECT doc, engine, engine_no, unnest(regexp_extract_all(regexp_replace(b, '(?i)<br\s*/?>', ' ', 'g'), '[\p{L}\p{N}_]+')), 0, 1 FROM e),
+c AS (SELECT doc, engine, engine_no, sum(n) AS n, greatest(sum(n) - sum(m), 0) AS l FROM x GROUP BY doc, engine, engine_no, w), s AS (SELECT doc, engine, engine_no, sum(l)::DOUBLE / greatest(sum(n), 1) AS loss FROM c GROUP BY 1, 2, 3),
+f AS (SELECT e.doc, e.engine, e.engine_no, coalesce(loss, 0) AS loss FROM e LEFT JOIN s USING (doc, engine_no)), r AS (SELECT *, row_number() OVER (PARTITION BY doc ORDER BY loss > 0.002, CASE WHEN loss > 0.002 THEN loss ELSE 0 END, engine_no) AS r FROM f)
+SELECT doc, engine, loss, loss > 0.01 AS warn FROM r WHERE r = 1"""
+SQL["clean_line_counts"] = r"""WITH p AS (SELECT id, min(full_text) AS t FROM final_policy_set WHERE full_text IS NOT NULL GROUP BY id),
+l AS (SELECT id, list_filter(regexp_split_to_array(t, '\r?\n'), lambda x: NOT regexp_matches(x, '(?:^\s*Ein Service (des|der) )|(?:^\s*Seite \p{N}+ von \p{N}+\s*$)|(?:^\s*www\.\S+\s*$)')) AS l FROM p),
+f AS (SELECT id, l, list_position(list_transform(l, lambda x: NOT regexp_matches(x, '(?i)^\s*(amtliches verkündungsblatt|jahrgang \p{N}+|nr\. \p{N}+)') AND trim(x) <> ''), true) AS first FROM l)
+SELECT id, CASE WHEN first > 0 THEN len(l) - first + 1 ELSE 0 END::INT AS n FROM f"""
