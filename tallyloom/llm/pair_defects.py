@@ -476,6 +476,7 @@ def pair_defects(pairs: DataFrame, key: str) -> DataFrame:
     def tag(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         m, wording = shared.value
         grams: dict[str, set] = {}
+        text, of_text = None, set()
         short: dict[tuple, str | None] = {}
         for b in batches:
             keys, variables, defects = [], [], []
@@ -492,7 +493,10 @@ def pair_defects(pairs: DataFrame, key: str) -> DataFrame:
                         if len(grams) > 2000:
                             grams.clear()
                         grams[q] = _grams(words(q))
-                    x = featurise(parts, var, grams[q], _grams(words(g)), kn is True or kn == True, wording)  # noqa: E712
+                    # the variables of an entry stand one after the other and share its given text
+                    if g != text:
+                        text, of_text = g, _grams(words(g))
+                    x = featurise(parts, var, grams[q], of_text, kn is True or kn == True, wording)  # noqa: E712
                     d = judge(parts, m.tag(x), x)
                     if same is not None and len(words(v)) <= 3 and kn is None:
                         if len(short) > 100_000:
