@@ -26,8 +26,6 @@ from tallyloom.runtime import cut_lineage, salted_join, spread
 
 #: Words of the clean vocabulary in one shard of the trie.
 SHARD_WORDS = 50_000
-#: Clean words seen once on which chance finds are measured; a sample for a rate only.
-DECOY_WORDS = 4_000
 #: Most frequent clean words that tasks know beforehand, which saves work only; the rest is met by a join.
 CORE_WORDS = 50_000
 #: A shape is known to be misread if it has this share of the words with one nearest candidate, taken together with
@@ -192,6 +190,51 @@ class Trie:
         return out
 
 
+class LevelTrie:
+    """A trie whose nodes know the highest level of frequency (power of two) of the words below them."""
+
+    def __init__(self, counts: dict[str, int]):
+        self.root: dict = {}
+        # commonest first: the word that makes a node is of its highest level, and children stand by falling level
+        for n, w in sorted(((n.bit_length() - 1, w) for w, n in counts.items()), reverse=True):
+            node = self.root
+            for ch in w:
+                got = node.get(ch)
+                if got is None:
+                    got = node[ch] = (n, {})
+                node = got[1]
+            node[""] = (n, None)
+
+    def top(self, word: str, most: int) -> int:
+        """Highest level of all words at a distance of 1 to ``most`` from ``word``, -1 if there is none.
+
+        Only what cannot raise the level is left unwalked.
+        """
+        a = Automaton(word, most)
+        letters, lead, far, other = a.letters, a.next, a.far, a.OTHER
+        best, stack = -1, [(0, self.root, 0)]
+        while stack:
+            n, node, state = stack.pop()
+            if n <= best:
+                continue
+            row = lead[state]
+            for ch, (n, child) in reversed(node.items()):
+                if n <= best:
+                    continue
+                if ch == "":
+                    if 0 < far[state] <= most:
+                        best = n
+                    continue
+                if ch not in letters:
+                    ch = other
+                nxt = row.get(ch)
+                if nxt is None:
+                    nxt = a.step(state, ch)
+                if nxt >= 0:
+                    stack.append((n, child, nxt))
+        return best
+
+
 def reach(word: str) -> int:
     return 1 if len(word) < 3 else 2 if len(word) < 8 else 3
 
@@ -460,20 +503,19 @@ def _trusted(unknown: DataFrame, words: DataFrame) -> DataFrame:
     """The candidates among all clean words of those unknown words whose commonest candidate tells more than chance.
 
     A name that no clean text has lies near other names and is not misread. How often that happens by chance is measured on
-    the rarest clean words (those seen once), which are not misread either: at each level of frequency (powers of two) the share of them with
-    a best candidate of that level, against the share of the unknown words. A level counts if at most half of its finds
-    are expected by chance. No count of a word and no size of the corpus enters.
+    all of the rarest clean words (those seen once), which are not misread either: at each level of frequency (powers of two) the share of
+    them with a best candidate of that level, against the share of the unknown words. A level counts if at most half of its
+    finds are expected by chance. No count of a word and no size of the corpus enters. The level of the best candidate of
+    every word comes first; the candidates themselves are looked up for the words of a level that counts.
     """
     rarest = words.agg(F.min("n")).collect()[0][0]
-    decoys = words.where(F.col("n") == F.lit(rarest)).orderBy(F.xxhash64("v"), "v").limit(DECOY_WORDS).select(F.col("v").alias("word"), F.lit(True).alias("decoy"))
+    decoys = words.where(F.col("n") == F.lit(rarest)).select(F.col("v").alias("word"), F.lit(True).alias("decoy"))
     every = cut_lineage(unknown.select("word", F.lit(False).alias("decoy")).unionByName(decoys))
-    found = cut_lineage(_candidates(every.select("word"), words).join(every, "word"))
-    top = found.groupBy("word", "decoy").agg(F.max(F.floor(F.log2("n"))).cast("int").alias("level"))
+    top = cut_lineage(_top_levels(every.select("word"), words).groupBy("word").agg(F.max("level").alias("level")).join(every, "word"))
     size = {r["decoy"]: r["n"] for r in every.groupBy("decoy").agg(F.count("*").alias("n")).collect()}
     hits = {(r["decoy"], r["level"]): r["n"] for r in top.groupBy("decoy", "level").agg(F.count("*").alias("n")).collect()}
     levels = trusted_levels({k: n for (d, k), n in hits.items() if not d}, size.get(False, 0), {k: n for (d, k), n in hits.items() if d}, size.get(True, 0))
-    good = top.where(~F.col("decoy") & F.col("level").isin(levels)).select("word")
-    return found.where(~F.col("decoy")).drop("decoy").join(good, "word", "left_semi")
+    return _candidates(top.where(~F.col("decoy") & F.col("level").isin(levels)).select("word"), words)
 
 
 def trusted_levels(seen: dict[int, int], n_seen: int, chance: dict[int, int], n_chance: int) -> list[int]:
@@ -486,8 +528,8 @@ def trusted_levels(seen: dict[int, int], n_seen: int, chance: dict[int, int], n_
     return sorted(k for k in seen if honest * r.get(k, 0.0) <= 0.5 * q[k])
 
 
-def _candidates(unknown: DataFrame, vocab: DataFrame) -> DataFrame:
-    """``(word, cand, n, distance, shapes, at)``: all words of ``vocab`` within reach of every unknown word, with the changed shapes.
+def _sharded(unknown: DataFrame, vocab: DataFrame) -> DataFrame:
+    """``(word, n, kind)``: the words of ``vocab`` (kind 0) and the unknown ones (kind 1), set out for look-up.
 
     Every partition holds one shard of the vocabulary and a part of the unknown words. The vocabulary comes first, is made a
     trie once, and the unknown words stream past it. There are about two partitions a core, so a shard is copied at most as
@@ -499,7 +541,33 @@ def _candidates(unknown: DataFrame, vocab: DataFrame) -> DataFrame:
     part = F.col("shard") * chunks + F.col("chunk")
     left = unknown.select("word", F.lit(None).cast("bigint").alias("n"), F.lit(1).alias("kind"), F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), F.pmod(F.xxhash64("word"), F.lit(chunks)).cast("int").alias("chunk"))
     right = vocab.select(F.col("v").alias("word"), "n", F.lit(0).alias("kind"), F.pmod(F.xxhash64("v", F.lit(3)), F.lit(shards)).cast("int").alias("shard"), F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))).alias("chunk"))
-    both = left.unionByName(right).withColumn("part", part.cast("int")).repartitionById(shards * chunks, "part").sortWithinPartitions("kind").select("word", "n", "kind")
+    return left.unionByName(right).withColumn("part", part.cast("int")).repartitionById(shards * chunks, "part").sortWithinPartitions("kind").select("word", "n", "kind")
+
+
+def _top_levels(unknown: DataFrame, vocab: DataFrame) -> DataFrame:
+    """``(word, level)``: by shard, the highest level of frequency of all words of ``vocab`` within reach; no row where none is."""
+
+    def look_up(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        n: dict[str, int] = {}
+        trie = None
+        for b in batches:
+            own = b["kind"] == 0
+            n.update(zip(b["word"][own], b["n"][own].astype("int64").tolist()))
+            out = []
+            for w in b["word"][~own]:
+                if trie is None:
+                    trie = LevelTrie(n)
+                level = trie.top(w, reach(w))
+                if level >= 0:
+                    out.append((w, level))
+            if out:
+                yield pd.DataFrame(out, columns=["word", "level"])
+
+    return _sharded(unknown, vocab).mapInPandas(look_up, "word string, level int")
+
+
+def _candidates(unknown: DataFrame, vocab: DataFrame) -> DataFrame:
+    """``(word, cand, n, distance, shapes, at)``: all words of ``vocab`` within reach of every unknown word, with the changed shapes."""
 
     def look_up(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         n: dict[str, int] = {}
@@ -517,7 +585,7 @@ def _candidates(unknown: DataFrame, vocab: DataFrame) -> DataFrame:
             if out:
                 yield pd.DataFrame(out, columns=["word", "cand", "n", "distance", "shapes", "at"])
 
-    return both.mapInPandas(look_up, "word string, cand string, n bigint, distance int, shapes array<string>, at array<int>")
+    return _sharded(unknown, vocab).mapInPandas(look_up, "word string, cand string, n bigint, distance int, shapes array<string>, at array<int>")
 
 
 def damaged_lines(df: DataFrame, key: str, text: str) -> DataFrame:

@@ -1,5 +1,7 @@
 """The repair of scanned text loses nothing to shares of the corpus."""
 
+import random
+
 from conftest import rows
 from pyspark.sql import functions as F
 
@@ -77,3 +79,29 @@ def test_clean_words_near_a_header_word_are_no_misread_ones():
     odds = {"bundesblatt": 9.0}
     assert scan_repair.Furniture(odds, set()).of("bundesplatt") == 9.0
     assert scan_repair.Furniture(odds, set(), {"bundesplatt"}).of("bundesplatt") == -3.0
+
+
+def test_chance_is_measured_on_all_rarest_words(spark):
+    """4,000 clean words seen once lie near a frequent one, all of them before the 4,500 others by hash."""
+    abc, base = "abcdefghijklmnopqrstuvwxyz", "behörden"
+    near = [base[:i] + x + base[i + 1 : j] + y + base[j + 1 :] for i in range(8) for j in range(i + 1, 8) for x in abc for y in abc if x != base[i] and y != base[j]]
+    draw = random.Random(1)
+    far = ["".join(draw.choices(abc, k=7)) for _ in range(10_000)]
+    hashed = lambda ws: spark.createDataFrame([(w,) for w in ws], "v string").distinct().withColumn("h", F.xxhash64("v"))
+    low, high = hashed(near).where("h < 0").orderBy("h", "v").select("v").limit(4000), hashed(far).where("h >= 0").orderBy("h", "v").select("v").limit(4500)
+    words = low.unionByName(high).withColumn("n", F.lit(1)).unionByName(spark.createDataFrame([("behörden", 5000)], "v string, n int"))
+    assert words.count() == 8501
+    # four in five unknown words lie near the frequent word, of the rarest words only 47 in a hundred
+    misread = ["be" + x + "örden" for x in "0123456789ABCDEFGHIJ"]
+    unknown = spark.createDataFrame([(w,) for w in misread + ["QQQQQQQQ%d" % i for i in range(5)]], "word string")
+    got = scan_repair._trusted(unknown, words).where("cand = 'behörden'")
+    assert {r["word"] for r in got.collect()} == set(misread)
+
+
+def test_level_of_the_best_candidate_is_that_of_all_candidates():
+    draw = random.Random(3)
+    counts = {"".join(draw.choices("abc", k=draw.randint(1, 9))): draw.randint(1, 300) for _ in range(400)}
+    plain, ranked = scan_repair.Trie(list(counts)), scan_repair.LevelTrie(counts)
+    for w in [*list(counts)[:80], "x", "abxcab", "xyzxyzxyz"]:
+        most = scan_repair.reach(w)
+        assert ranked.top(w, most) == max((counts[c].bit_length() - 1 for c, _ in plain.within(w, most)), default=-1)
